@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +24,11 @@ SENTENCE_REACH = 100
 PLAIN_REACH = 80
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(value: Column) -> Column:
     return F.btrim(value, F.lit(BLANKS))
 
@@ -54,17 +59,21 @@ def whole_word_pattern(name: str) -> str:
     return literal + before + after
 
 
-def match_end(lowered: Column, name: str) -> Column:
-    """Number of code points up to the end of the first whole-word occurrence of ``name``, else 0.
+def up_to_whole_word(name: str) -> str:
+    """Regex of everything up to and including the first whole-word occurrence.
 
-    The plain substring test is far cheaper than the regex and settles most rows.
+    The length of what it matches, less that of the name, is the index in code points. (The regex
+    engine's own offsets count UTF-16 units.)
     """
-    key = name.lower()
-    up_to_match = F.regexp_extract(lowered, r"(?s)\A.*?" + whole_word_pattern(key), 0)
-    return F.when(F.contains(lowered, F.lit(key)), F.length(up_to_match)).otherwise(0)
+    return r"(?s)\A.*?" + whole_word_pattern(name)
+
 
+def extract(text: Column, pattern: Column) -> Column:
+    """What a pattern given by a column matches; empty if it does not match."""
+    return F.call_function("regexp_extract", text, pattern, F.lit(0))
 
-def surroundings(raw: Column, index: Column, width: int) -> Column:
+
+def surroundings(raw: Column, index: Column, width: Column) -> Column:
     """The stretch of text every possible context of a match lies in, cut out once per match."""
     start = F.greatest(index - SENTENCE_REACH, F.lit(0))
     return F.substring(raw, start + 1, index - start + width + SENTENCE_REACH)
@@ -79,24 +88,26 @@ def context(stretch: Column, index: Column, width: Column) -> Column:
     lead = F.least(index, F.lit(SENTENCE_REACH))
     before = F.substring(stretch, F.lit(1), lead)
     after = F.substring(stretch, lead + width + 1, F.lit(SENTENCE_REACH))
-    back = F.when(
-        before.rlike(r"[.\n]"), F.length(F.regexp_extract(before, r"[^.\n]*\z", 0))
-    ).otherwise(F.least(index, F.lit(PLAIN_REACH)))
-    rest = F.length(F.regexp_extract(after, r"\A[^.\n]*[.\n]", 0))
-    forth = F.when(rest > 0, rest).otherwise(F.lit(PLAIN_REACH))
-    return F.substring(stretch, lead - back + 1, back + width + forth)
+    back = bind(
+        before,
+        lambda text: F.when(
+            text.rlike(r"[.\n]"), F.length(F.regexp_extract(text, r"[^.\n]*\z", 0))
+        ).otherwise(F.least(index, F.lit(PLAIN_REACH))),
+    )
+    rest = F.nullif(F.length(F.regexp_extract(after, r"\A[^.\n]*[.\n]", 0)), F.lit(0))
+    forth = F.coalesce(rest, F.lit(PLAIN_REACH))
+    return bind(back, lambda behind: F.substring(stretch, lead - behind + 1, behind + width + forth))
 
 
 def keyword_score(lowered: Column, keywords: Sequence[str], word_match: bool = False) -> Column:
     """How many distinct keywords occur, as substrings or (``word_match``) as whole words."""
-    score = F.lit(0)
-    for keyword in dict.fromkeys(k.lower() for k in keywords):
-        if word_match:
-            found = lowered.rlike(whole_word_pattern(keyword))
-        else:
-            found = F.contains(lowered, F.lit(keyword))
-        score = score + found.cast("int")
-    return score
+    distinct = list(dict.fromkeys(k.lower() for k in keywords))
+    if not distinct:
+        return F.lit(0)
+    if word_match:
+        patterns = F.lit([whole_word_pattern(k) for k in distinct])
+        return F.size(F.filter(patterns, lambda pattern: F.regexp_like(lowered, pattern)))
+    return F.size(F.filter(F.lit(distinct), lambda keyword: F.contains(lowered, keyword)))
 
 
 def sentiment(
@@ -105,6 +116,10 @@ def sentiment(
     negative: Sequence[str] = NEGATIVE_KEYWORDS,
     word_match: bool = False,
 ) -> Column:
-    lowered = F.lower(text)
-    balance = keyword_score(lowered, positive, word_match) - keyword_score(lowered, negative, word_match)
-    return F.when(balance > 0, "recommended").when(balance < 0, "negative").otherwise("neutral")
+    def balance(lowered: Column) -> Column:
+        return keyword_score(lowered, positive, word_match) - keyword_score(lowered, negative, word_match)
+
+    def label(score: Column) -> Column:
+        return F.when(score > 0, "recommended").when(score < 0, "negative").otherwise("neutral")
+
+    return bind(bind(F.lower(text), balance), label)

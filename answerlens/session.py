@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Large joins run on response and prompt ids. One id may carry a large part of the rows, so a
 # skewed partition is split even when that costs the stage above it a shuffle of its own.
@@ -29,6 +29,7 @@ def local_session(cores: str | int = "*", app: str = "answerlens", **settings: s
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
@@ -51,3 +52,11 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     return tempfile.mkdtemp(prefix="answerlens-")
+
+
+def cut_lineage(rows: DataFrame) -> DataFrame:
+    """Write rows to the checkpoint folder and go on from there, so that lost tasks cannot change them."""
+    context = rows.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(rows.sparkSession))
+    return rows.checkpoint()

@@ -16,22 +16,26 @@ from workload import standins as st
 NOT_WORD = r"[^\p{L}\p{N}_]"
 
 
-def located_sql(name: str, order: int) -> str:
-    """Documents that name one brand, with the index of the first whole-word occurrence."""
-    key = name.lower()
-    pattern = rf"(?s)^((?:.*?{NOT_WORD})??){key}(?:{NOT_WORD}|$)"
-    return f"""SELECT doc_id, text, '{name}' AS brand_name, {order} AS ord, {len(name)} AS w,
-       length(regexp_extract(lower(text), '{pattern}', 1)) AS i
-  FROM documents WHERE regexp_matches(lower(text), '(?:^|{NOT_WORD}){key}(?:{NOT_WORD}|$)')"""
-
-
-LOCATED_SQL = "located AS (\n" + "\nUNION ALL ".join(located_sql(b, i) for i, b in enumerate(st.TEXT_BRANDS)) + ")"
-CONTEXT_SQL = r"""around AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, ord) AS position,
+def located_sql(name: str, order: int, table: str, key: str, text: str) -> str:
+    """Texts that name one brand, with the index of the first whole-word occurrence."""
+    word = name.lower()
+    pattern = rf"(?s)^((?:.*?{NOT_WORD})??){word}(?:{NOT_WORD}|$)"
+    return f"""SELECT {key} AS response_id, {text} AS text, '{name}' AS brand_name, {order} AS ord, {len(name)} AS w,
+       length(regexp_extract(lower({text}), '{pattern}', 1)) AS i
+  FROM {table} WHERE regexp_matches(lower({text}), '(?:^|{NOT_WORD}){word}(?:{NOT_WORD}|$)')"""
+
+
+def contexts_sql(table: str, key: str, text: str, brands=st.TEXT_BRANDS) -> str:
+    """Common table expressions ``located`` and ``contexts`` over the texts of a table."""
+    located = "\nUNION ALL ".join(located_sql(b, i, table, key, text) for i, b in enumerate(brands))
+    return rf"""located AS (
+{located}),
+around AS (
+  SELECT *, row_number() OVER (PARTITION BY response_id ORDER BY i, ord) AS position,
          substring(text, greatest(i - 100, 0) + 1, least(i, 100)) AS b, substring(text, i + w + 1, 100) AS f
   FROM located),
 contexts AS (
-  SELECT doc_id AS response_id, brand_name, position, i AS first_index,
+  SELECT response_id, brand_name, position, i AS first_index,
          CASE WHEN regexp_matches(b, '[.\n]') THEN regexp_extract(b, '[^.\n]*$') ELSE right(b, 80) END
          || substring(text, i + 1, w)
          || CASE WHEN regexp_matches(f, '[.\n]') THEN regexp_extract(f, '^[^.\n]*[.\n]') ELSE left(f, 80) END
@@ -39,6 +43,9 @@ contexts AS (
   FROM around)"""
 
 
+CONTEXTS_SQL = contexts_sql("documents", "doc_id", "text")
+
+
 def score_sql(keywords) -> str:
     return " + ".join(f"CAST(contains(lower(context), '{k}') AS INT)" for k in keywords)
 
@@ -147,14 +154,14 @@ QUERIES = {
 }
 
 ORACLES = {
-    "brand_first_index": f"WITH {LOCATED_SQL} SELECT doc_id AS response_id, brand_name, i AS first_index FROM located",
-    "brand_rank": f"WITH {LOCATED_SQL},\n{CONTEXT_SQL} SELECT response_id, brand_name, position FROM contexts",
-    "context_window": f"WITH {LOCATED_SQL},\n{CONTEXT_SQL} SELECT response_id, brand_name, context FROM contexts",
+    "brand_first_index": f"WITH {CONTEXTS_SQL} SELECT response_id, brand_name, first_index FROM contexts",
+    "brand_rank": f"WITH {CONTEXTS_SQL} SELECT response_id, brand_name, position FROM contexts",
+    "context_window": f"WITH {CONTEXTS_SQL} SELECT response_id, brand_name, context FROM contexts",
     "keyword_scores": f"""SELECT doc_id AS id, {score_sql(st.TEXT_POSITIVE)} AS positive,
        {score_sql(st.TEXT_NEGATIVE)} AS negative FROM (SELECT doc_id, text AS context FROM documents)""",
-    "sentiment_label": f"""WITH {LOCATED_SQL},\n{CONTEXT_SQL}
+    "sentiment_label": f"""WITH {CONTEXTS_SQL}
 SELECT response_id, brand_name, {label_sql(POSITIVE_KEYWORDS, NEGATIVE_KEYWORDS)} AS sentiment FROM contexts""",
-    "parse_mentions": f"""WITH {LOCATED_SQL},\n{CONTEXT_SQL}
+    "parse_mentions": f"""WITH {CONTEXTS_SQL}
 SELECT response_id, brand_name, position, {label_sql(st.TEXT_POSITIVE, st.TEXT_NEGATIVE)} AS sentiment FROM contexts""",
     "url_domain": f"""SELECT page_id, {sql_domain('url')} AS "domain",
        {sql_domain("regexp_replace(url, '^https?://', 'www.')")} AS bare_domain FROM pages""",
