@@ -41,13 +41,21 @@ def _shares(facts: Facts, brands: DataFrame) -> DataFrame:
     return counted.withColumn("mention_share_pct", round_scaled(share, 1))
 
 
+def any_row(rows: DataFrame) -> Column:
+    """Whether there is any row, as a scalar subquery that stops at the first one.
+
+    It reads all columns of ``rows``: the same ones as the aggregate it guards, so that both use the
+    same shuffles and the guard adds none.
+    """
+    return rows.limit(1).agg(F.max(F.struct("*")).isNotNull()).scalar()
+
+
 def mention_share(facts: Facts, brands: DataFrame) -> DataFrame:
     """Share of prompts whose responses name a brand; zero rows for seed brands nobody names.
 
-    Without any mention at all the result is empty. That gate reads the same aggregate as the result,
-    so the two share one shuffle.
+    Without any mention at all the result is empty.
     """
-    any_mention = brand_responses(facts).agg(F.sum("mention_count") > 0).scalar()
+    any_mention = any_row(facts.mentions.select("response_id", "brand_name"))
     return (
         _shares(facts, brands)
         .filter(any_mention)
@@ -88,9 +96,10 @@ def _stage_shares(facts: Facts, brands: DataFrame) -> DataFrame:
         "stage", "prompts", "seed.ord", "seed.brand_name"
     )
     counts = facts.mentions.groupBy("stage", "brand_name").agg(F.count_distinct("response_id").alias("n"))
-    share = percentage(F.coalesce("n", F.lit(0)), F.col("prompts"))
-    return grid.join(counts, ["stage", "brand_name"], "left").select(
-        "stage", "ord", "brand_name", round_exact(share, 1).alias("mention_share_pct")
+    same = grid.stage.eqNullSafe(counts.stage) & (grid.brand_name == counts.brand_name)
+    named = F.when(grid.stage.isNotNull(), F.coalesce("n", F.lit(0))).otherwise(0)
+    return grid.join(counts, same, "left").select(
+        grid.stage, "ord", grid.brand_name, round_exact(percentage(named, F.col("prompts")), 1).alias("mention_share_pct")
     )
 
 
@@ -99,7 +108,7 @@ def stage_breakdown(facts: Facts, brands: DataFrame) -> DataFrame:
 
     Empty without any mention, like the mention share.
     """
-    any_mention = brand_responses(facts).agg(F.sum("mention_count") > 0).scalar()
+    any_mention = any_row(facts.mentions.select("response_id", "brand_name", "stage"))
     return (
         _stage_shares(facts, brands)
         .filter(any_mention)
@@ -130,10 +139,9 @@ def domain_leader(facts: Facts) -> DataFrame:
     return _domains(facts).agg(F.min(rank).alias("leader"), F.count("*").alias("domains"))
 
 
-def stage_leader(facts: Facts, brands: DataFrame, stage: str) -> DataFrame:
-    """The seed brand with the top share of one stage; NULL if the stage has no responses."""
-    of_stage = _stage_shares(facts, brands).filter(F.col("stage") == stage)
-    return of_stage.agg(F.min(_share_rank()).alias("leader"))
+def stage_leader(stage_facts: Facts, brands: DataFrame) -> DataFrame:
+    """The seed brand with the top share in facts filtered to one stage; NULL without responses."""
+    return _stage_shares(stage_facts, brands).agg(F.min(_share_rank()).alias("leader"))
 
 
 def kpi_summary(facts: Facts, brands: DataFrame) -> DataFrame:

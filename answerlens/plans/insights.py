@@ -7,25 +7,30 @@ from pyspark.sql import functions as F
 
 from answerlens import lexicon
 from answerlens.operators import metrics
-from answerlens.operators.facts import Facts
+from answerlens.operators.facts import Facts, filtered_facts
 
 
 def _sentence(template: str, *values: Column) -> Column:
     return F.format_string(template, *[v.cast("string") for v in values])
 
 
-def insights(facts: Facts, stage_facts: Facts, brands: DataFrame) -> DataFrame:
+# Fixed value: the stage the last insight is about.
+INTENT_STAGE = "recommendation"
+
+
+def insights(facts: Facts, intent_facts: Facts, brands: DataFrame) -> DataFrame:
     """``seq, insight``: share leader, best position, top domain and leader of the recommendation stage.
 
-    ``stage_facts`` are filtered by platform only. Without any mention there is one fallback line.
-    Every leader is a one-row aggregate, so nothing is sorted or collected to find it.
+    ``intent_facts`` are those of the recommendation stage, under the same platform filter. Without any
+    mention there is one fallback line. Every leader is a one-row aggregate, so nothing is sorted or
+    collected to find it.
     """
     leaders = metrics.share_leader(facts, brands).select(
         "total_mentions",
         F.col("leader").alias("share"),
         metrics.position_leader(facts).scalar().alias("position"),
         metrics.domain_leader(facts).select("leader").scalar().alias("domain"),
-        metrics.stage_leader(stage_facts, brands, "recommendation").scalar().alias("stage"),
+        metrics.stage_leader(intent_facts, brands).scalar().alias("stage"),
     )
     share, position, domain, stage = (F.col(c) for c in ("share", "position", "domain", "stage"))
     lines = F.array(
@@ -42,3 +47,18 @@ def insights(facts: Facts, stage_facts: Facts, brands: DataFrame) -> DataFrame:
     chosen = F.when(F.col("total_mentions") > 0, F.array_compact(lines)).otherwise(fallback)
     rows = leaders.select(F.posexplode_outer(chosen).alias("at", "insight"))
     return rows.select((F.col("at") + 1).alias("seq"), "insight")
+
+
+def insight_report(
+    responses: DataFrame,
+    mentions: DataFrame,
+    citations: DataFrame,
+    prompts: DataFrame,
+    brands: DataFrame,
+    stage: str | None = None,
+    platform: str | None = None,
+) -> DataFrame:
+    """Insights of the facts a stage and a platform select; the stage insight ignores the stage filter."""
+    facts = filtered_facts(responses, mentions, citations, prompts, stage, platform)
+    intent = filtered_facts(responses, mentions, citations, prompts, INTENT_STAGE, platform)
+    return insights(facts, intent, brands)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from answerlens.operators import facts as fx
 from answerlens.operators import metrics
-from answerlens.plans.insights import insights
+from answerlens.plans.insights import insight_report
 from workload import standins as st
 
 
@@ -83,9 +83,8 @@ SELECT stage, brand_name, mention_share_pct FROM stages WHERE (SELECT count(*) F
 
 
 def all_insights(spark, sf_dir, stage=None, platform=None) -> DataFrame:
-    stage_facts = model_facts(spark, sf_dir, None, platform)
-    facts = model_facts(spark, sf_dir, stage, platform)
-    return insights(facts, stage_facts, st.brand_table(spark))
+    tables = (st.responses, st.mentions, st.citations, st.prompts)
+    return insight_report(*[t(spark, sf_dir) for t in tables], st.brand_table(spark), stage, platform)
 
 
 def insights_sql(stage: str | None = None, platform: str | None = None) -> str:
