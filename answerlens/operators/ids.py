@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# The most rows the running total below ever sees, whatever the number of rows to be numbered.
-BUCKETS = 4096
+# How many parts the rows are numbered in, and so the most rows the running total below ever sees.
+BUCKETS = 256
 
 
 def next_id(rows: DataFrame, id_col: str = "id") -> Column:
@@ -18,18 +18,19 @@ def next_id(rows: DataFrame, id_col: str = "id") -> Column:
 def with_sequential_ids(rows: DataFrame, order_col: str, start: Column, id_col: str = "id") -> DataFrame:
     """Gapless ids in the order of a unique integer column, without sorting everything in one task.
 
-    The range of the column is cut into equal buckets; rows are numbered within their bucket and
-    shifted by the number of rows in the buckets before it.
+    Quantiles of the column cut the rows into buckets of like size, however the values are spread.
+    Rows are numbered within their bucket and shifted by the number of rows in the buckets before it.
+    The quantiles are a scalar subquery, computed once for all uses.
     """
-    low = rows.agg(F.min(order_col).cast("double")).scalar()
-    high = rows.agg(F.max(order_col).cast("double") + 1).scalar()
-    bucket = F.coalesce(F.width_bucket(F.col(order_col).cast("double"), low, high, F.lit(BUCKETS)), F.lit(0))
-    placed = rows.withColumn("_bucket", bucket)
+    steps = [step / BUCKETS for step in range(1, BUCKETS)]
+    quantiles = rows.agg(F.percentile_approx(order_col, steps)).scalar()
+    below = F.filter("_quantiles", lambda quantile: quantile < F.col(order_col))
+    placed = rows.withColumn("_quantiles", quantiles).withColumn("_bucket", F.size(below)).drop("_quantiles")
     sizes = placed.groupBy("_bucket").agg(F.count("*").alias("_size"))
     before = F.sum("_size").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
     offsets = sizes.select("_bucket", F.coalesce(before, F.lit(0)).alias("_offset"))
     within = F.row_number().over(W.partitionBy("_bucket").orderBy(order_col))
-    # At most BUCKETS + 2 rows, so always safe to broadcast.
+    # At most BUCKETS rows, so always safe to broadcast.
     numbered = placed.join(F.broadcast(offsets), "_bucket")
     return numbered.withColumn(id_col, (start + F.col("_offset") + within - 1).cast("long")).drop("_bucket", "_offset")
 

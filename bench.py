@@ -33,7 +33,6 @@ HEADLINE = (
     "append_with_ids",
     "add_prompts",
     "update_prompts",
-    "dictionary_first_index",
 )
 
 

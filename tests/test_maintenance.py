@@ -1,10 +1,11 @@
 """Dimension batches, keys and ids."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from answerlens.operators import dimensions as dims
 from answerlens.operators import facts as fx
-from answerlens.operators.ids import BUCKETS, next_id, with_sequential_ids
+from answerlens.operators.ids import next_id, with_sequential_ids
 from answerlens.sources.dimensions import brand_names, read_brands, read_prompts
 
 
@@ -122,12 +123,22 @@ def test_history_is_kept(spark):
     assert fx.responses_with_stage(responses, left.unionByName(prompts(spark, (7, "z", "research")))).first().stage is None
 
 
-@pytest.mark.parametrize("spread", [1, 10**12])
-def test_sequential_ids(spark, spread):
-    frame = spark.range(3 * BUCKETS).selectExpr(f"(id * 7919 % {3 * BUCKETS}) * {spread} - 5 AS k")
+def test_sequential_ids(spark):
+    # A third of the values lies close together, the others far apart.
+    key = "if(id % 3 = 0, id - 600, (id * 7919 % 3000) * 1000000000000 + id)"
+    frame = spark.range(3000).selectExpr(f"{key} AS k")
     numbered = with_sequential_ids(frame, "k", next_id(spark.createDataFrame([(41,)], "id long")))
     found = [r.id for r in numbered.orderBy("k").collect()]
-    assert found == list(range(42, 42 + 3 * BUCKETS))
+    assert found == list(range(42, 3042))
+
+
+def test_quantiles_are_computed_once(spark):
+    numbered = with_sequential_ids(spark.range(1000).withColumnRenamed("id", "k"), "k", F.lit(1))
+    assert numbered.agg(F.count_distinct("id")).first()[0] == 1000
+    numbered.collect()
+    final = numbered._jdf.queryExecution().executedPlan().toString().split("\n+- == Initial Plan ==")[0]
+    # Once as the final and once as the initial plan of one and the same subquery.
+    assert final.count("partial_percentile_approx") == 2 and "ReusedSubquery" in final
 
 
 def test_sequential_ids_of_one_and_no_row(spark):

@@ -223,6 +223,10 @@ QUERIES = {
     "delete_prompts": lambda s, d: dims.delete_prompts(
         named_prompts(s, d), customers_below(s, d).withColumnRenamed("prompt_id", "id")
     ).result,
+    "delete_prompts_not_found": lambda s, d: dims.delete_prompts(
+        st.prompts(s, d), customers_below(s, d).withColumnRenamed("prompt_id", "id")
+    ).rejected,
+    "delete_all_prompts": lambda s, d: dims.delete_all(named_prompts(s, d)),
     "add_brands": lambda s, d: dims.add_brands(brand_list(s, d), brand_candidates(s, d)).result,
     "add_brands_rejected": lambda s, d: dims.add_brands(brand_list(s, d), brand_candidates(s, d)).rejected,
     "rename_brands": lambda s, d: dims.rename_brands(brand_list(s, d), renames(s, d)).result,
@@ -277,6 +281,9 @@ FROM judged WHERE seq NOT IN (SELECT seq FROM standing)""",
     "delete_prompts": f"""WITH {BELOW_SQL}
 SELECT c_custkey AS id, c_name AS text, {st.sql_choose('c_mktsegment', st.SEGMENT_STAGES)} AS stage
 FROM customer WHERE c_custkey NOT IN (SELECT prompt_id FROM below)""",
+    "delete_prompts_not_found": f"""WITH {BELOW_SQL}
+SELECT prompt_id AS id, 'not_found' AS reason FROM below""",
+    "delete_all_prompts": """SELECT c_custkey AS id, c_name AS text, c_mktsegment AS stage FROM customer WHERE false""",
     "add_brands": f"""WITH {BRANDS_SQL}, {BRAND_CANDIDATES_SQL},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lower(trim(brand_name)) ORDER BY seq) AS rn FROM candidates
            WHERE trim(brand_name) <> '')
