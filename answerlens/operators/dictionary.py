@@ -46,11 +46,16 @@ def _boundary_pattern(key: Column) -> Column:
 
 
 def dictionary(brands: DataFrame) -> DataFrame:
-    """``ord, brand_name, key, sequence, length`` of the brands that hold at least one word."""
+    """``ord, brand_name, key, pattern, sequence, length`` of the brands that hold at least one word."""
     keyed = brands.select("ord", "brand_name", F.lower("brand_name").alias("key"))
     tokenized = keyed.withColumn("_words", words(F.col("key")))
     return tokenized.filter(F.size("_words") > 0).select(
-        "ord", "brand_name", "key", F.array_join("_words", JOINT).alias("sequence"), F.size("_words").alias("length")
+        "ord",
+        "brand_name",
+        "key",
+        F.concat(F.lit(r"(?s)\A.*?"), _boundary_pattern(F.col("key"))).alias("pattern"),
+        F.array_join("_words", JOINT).alias("sequence"),
+        F.size("_words").alias("length"),
     )
 
 
@@ -71,7 +76,7 @@ def with_dictionary_hits(
     tokenized = answers.select(F.col(id_col).alias("_id"), words(F.lower(text_col)).alias("_words"))
     sequences = F.array_distinct(F.concat(*[_sequences(F.col("_words"), n) for n in lengths]))
     spread = tokenized.select("_id", F.explode_outer(sequences).alias("sequence"))
-    candidate = F.struct("ord", "brand_name", "key")
+    candidate = F.struct("ord", "brand_name", "key", "pattern")
     candidates = spread.join(entries, "sequence").groupBy("_id").agg(F.collect_list(candidate).alias("_candidates"))
 
     def hit(found: Column) -> Column:
@@ -84,8 +89,7 @@ def with_dictionary_hits(
         )
 
     def located(entry: Column, lowered: Column) -> Column:
-        pattern = F.concat(F.lit(r"(?s)\A.*?"), _boundary_pattern(entry.key))
-        end = F.length(tx.extract(lowered, pattern))
+        end = F.length(tx.extract(lowered, entry.pattern))
         return F.struct(
             (end - F.length(entry.key)).alias("first_index"),
             entry.ord.alias("ord"),

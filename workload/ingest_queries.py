@@ -129,7 +129,7 @@ def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A long brand list: all first words of part names and benchmark passages, and some pairs."""
+    """A long brand list: the first two words of each benchmark passage and the second and third as a pair."""
     passages = st.table(spark, sf_dir, "benchmark").select(F.split("text", " ").alias("w"))
     names = passages.select(
         F.explode(F.array(F.get("w", F.lit(0)), F.get("w", F.lit(1)), F.concat_ws(" ", F.slice("w", 2, 2)))).alias("n")
@@ -185,7 +185,21 @@ SELECT (SELECT count(*) FROM landing) AS total_prompts, (SELECT count(*) FROM go
        (SELECT count(*) FROM cites JOIN good ON response_id = landing_id WHERE has_sources) AS grounded_citations,
        (SELECT count(*) FROM cites JOIN good ON response_id = landing_id WHERE NOT has_sources) AS fallback_citations"""
 
+# Names of the long list hold no character that is special in a regex. All characters that are neither
+# word nor space are made the same first, so that the pattern of each name stays small.
+LONG_LIST_SQL = r"""WITH words AS (SELECT string_split(text, ' ') AS w FROM benchmark),
+names AS (
+  SELECT w[1] AS n FROM words UNION ALL SELECT w[2] FROM words
+  UNION ALL SELECT array_to_string(w[2:3], ' ') FROM words),
+brands AS (SELECT DISTINCT lower(regexp_replace(n, '[.,]', '', 'g')) AS b FROM names WHERE n IS NOT NULL),
+low AS (SELECT doc_id, regexp_replace(lower(text), '[^\p{L}\p{N}_ ]', '#', 'g') AS t FROM documents)
+SELECT doc_id AS response_id, b AS brand_name,
+       CAST(length(regexp_extract(t, '^((?:.*?[ #])??)' || b || '(?:[ #]|$)', 1)) AS INT) AS first_index
+FROM low JOIN brands ON b <> '' AND contains(t, b)
+WHERE regexp_matches(t, '(?:^|[ #])' || b || '(?:[ #]|$)')"""
+
 ORACLES = {
+    "dictionary_first_index": LONG_LIST_SQL,
     "ingest_grounding_json": SOURCES_SQL,
     "ingest_answer_text": f"""WITH {st.LANDING_SQL}
 SELECT landing_id, raw_text || chr(10) || '--' || platform AS raw_text, true AS grounded FROM landing""",

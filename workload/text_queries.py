@@ -154,15 +154,16 @@ QUERIES = {
 }
 
 ORACLES = {
-    "brand_first_index": f"WITH {CONTEXTS_SQL} SELECT response_id, brand_name, first_index FROM contexts",
-    "brand_rank": f"WITH {CONTEXTS_SQL} SELECT response_id, brand_name, position FROM contexts",
+    "brand_first_index": f"""WITH {CONTEXTS_SQL}
+SELECT response_id, brand_name, CAST(first_index AS INT) AS first_index FROM contexts""",
+    "brand_rank": f"WITH {CONTEXTS_SQL} SELECT response_id, brand_name, CAST(position AS INT) AS position FROM contexts",
     "context_window": f"WITH {CONTEXTS_SQL} SELECT response_id, brand_name, context FROM contexts",
     "keyword_scores": f"""SELECT doc_id AS id, {score_sql(st.TEXT_POSITIVE)} AS positive,
        {score_sql(st.TEXT_NEGATIVE)} AS negative FROM (SELECT doc_id, text AS context FROM documents)""",
     "sentiment_label": f"""WITH {CONTEXTS_SQL}
 SELECT response_id, brand_name, {label_sql(POSITIVE_KEYWORDS, NEGATIVE_KEYWORDS)} AS sentiment FROM contexts""",
     "parse_mentions": f"""WITH {CONTEXTS_SQL}
-SELECT response_id, brand_name, position, {label_sql(st.TEXT_POSITIVE, st.TEXT_NEGATIVE)} AS sentiment FROM contexts""",
+SELECT response_id, brand_name, CAST(position AS INT) AS position, {label_sql(st.TEXT_POSITIVE, st.TEXT_NEGATIVE)} AS sentiment FROM contexts""",
     "url_domain": f"""SELECT page_id, {sql_domain('url')} AS "domain",
        {sql_domain("regexp_replace(url, '^https?://', 'www.')")} AS bare_domain FROM pages""",
     "url_scan": f"""WITH {st.LINKED_PAGES_SQL}
