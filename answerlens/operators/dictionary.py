@@ -29,10 +29,12 @@ def words(lowered: Column) -> Column:
 
 def _sequences(tokens: Column, length: int) -> Column:
     """All runs of ``length`` words, joined."""
-    starts = F.when(
-        F.size(tokens) >= length, F.sequence(F.lit(1), F.size(tokens) - length + 1)
-    ).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda at: F.array_join(F.slice(tokens, at, length), JOINT))
+    if length == 1:
+        return tokens
+    starts = F.when(F.size(tokens) >= length, F.sequence(F.lit(0), F.size(tokens) - length)).otherwise(
+        F.array().cast("array<int>")
+    )
+    return F.transform(starts, lambda at: F.concat_ws(JOINT, *[F.get(tokens, at + step) for step in range(length)]))
 
 
 def _boundary_pattern(key: Column) -> Column:
