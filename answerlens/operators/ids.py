@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # How many parts the rows are numbered in, and so the most rows the running total below ever sees.
-BUCKETS = 256
+BUCKETS = 128
 
 
 def next_id(rows: DataFrame, id_col: str = "id") -> Column:
@@ -25,7 +25,9 @@ def with_sequential_ids(rows: DataFrame, order_col: str, start: Column, id_col:
     steps = [step / BUCKETS for step in range(1, BUCKETS)]
     quantiles = rows.agg(F.percentile_approx(order_col, steps)).scalar()
     below = F.filter("_quantiles", lambda quantile: quantile < F.col(order_col))
-    placed = rows.withColumn("_quantiles", quantiles).withColumn("_bucket", F.size(below)).drop("_quantiles")
+    # Not nullable, so that the join below does not test the buckets for NULL first.
+    bucket = F.coalesce(F.size(below), F.lit(0))
+    placed = rows.withColumn("_quantiles", quantiles).withColumn("_bucket", bucket).drop("_quantiles")
     sizes = placed.groupBy("_bucket").agg(F.count("*").alias("_size"))
     before = F.sum("_size").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
     offsets = sizes.select("_bucket", F.coalesce(before, F.lit(0)).alias("_offset"))
