@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from answerlens.llm import packing, token_files
+from answerlens.llm import decontamination, packing, simhash, token_files
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op5_packing": packing.op5_packing,
+    "op6_decontamination": decontamination.op6_decontamination,
+    "op9_simhash_trie": simhash.op9_simhash_trie,
+}
+ORACLES = {
+    "op6_decontamination": decontamination.ORACLE,
 }
-ORACLES: dict[str, str] = {}

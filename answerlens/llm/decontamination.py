@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from answerlens.llm.common import documents, id_and_text, settled
 
 WINDOW = 13
-MOST_SHARE = 0.05
+MOST_SHARE = Decimal("0.05")
 MOST_WORDS = 200_000
 
 _LETTERS = b"abcdefghijklmnopqrstuvwxyz"
@@ -264,11 +265,10 @@ def n_hit() -> Column:
     return F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
 
 
-def contaminated(window_share: float = MOST_SHARE) -> Column:
-    return (F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(window_share) * F.col("n_words"))
+def contaminated(most_share: Decimal = MOST_SHARE) -> Column:
+    return (F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(most_share) * F.col("n_words"))
 
 
-@F.pandas_udf("string")
 def without_words(texts: pd.Series, spans: pd.Series) -> pd.Series:
     """The text without the characters from the first to the last word of each span."""
 
@@ -285,13 +285,14 @@ def without_words(texts: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series([cut(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_share: float = MOST_SHARE, most_words: int = MOST_WORDS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_share: Decimal = MOST_SHARE, most_words: int = MOST_WORDS) -> DataFrame:
     """The rows of ``docs``, all columns: a document goes if matches cover ``most_share`` of its words or more; of the
     others, the marked spans are cut out of the text and ``n_chars``, where there is one, counts anew."""
     matched = match_items(docs, benchmark, window, most_words, carried=tuple(docs.columns))
     kept = matched.withColumn("n_hit", n_hit()).where(~contaminated(most_share))
     hit = F.size("spans") > 0
-    kept = kept.withColumn("_cut", F.when(hit, without_words(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
+    cut_out = F.pandas_udf(without_words, "string")
+    kept = kept.withColumn("_cut", F.when(hit, cut_out(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
     new = {"text": F.col("_cut")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(hit, F.length("_cut").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
@@ -308,8 +309,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
-        F.col("longest").cast("long").alias("longest_match"),
+        contaminated().alias("contaminated"),
     )
 
 
@@ -335,4 +335,8 @@ WITH d AS (
   SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids
   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY doc_id
 )
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """

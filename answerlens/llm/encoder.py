@@ -27,7 +27,7 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
 class Encoder:
     """Encodes texts; one instance per worker. ``cache_words`` bounds its memory, never its results."""
 
-    def __init__(self, path: str, end_id: int = 1, cache_words: int = 400_000):
+    def __init__(self, path: str, end_id: int = 1, cache_words: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -77,13 +77,11 @@ class Encoder:
         if len(self.cache) > self.cache_words:
             self.cache.clear()
         cut = [self.words(t) for t in texts]
-        missing = set()
-        for words in cut:
-            missing.update(words)
-        missing.difference_update(self.cache)
+        cache = self.cache
+        missing = {w for words in cut for w in words if w not in cache}
         if missing:
             self._learn(missing)
-        get = self.cache.__getitem__
+        get = cache.__getitem__
         return [b"".join(map(get, words)) + self.end for words in cut]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:

@@ -220,10 +220,15 @@ def _splits(spark: SparkSession, folder: str, docs_per_split: int) -> DataFrame:
     return (
         runs.select("shard", "base", "n_docs", first.alias("first"))
         .select("shard", "base", "first", F.least("n_docs", F.col("first") + docs_per_split).alias("last"))
-        .repartition(F.col("shard"), F.col("first"))
+        .repartition(_tasks(spark), F.col("shard"), F.col("first"))
     )
 
 
+def _tasks(spark: SparkSession) -> int:
+    """Said outright: rows that only name what to read are too small to be dealt by their size."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def fetch_documents(spark: SparkSession, folder: str, doc_ids: DataFrame) -> DataFrame:
     """The ids of the documents whose ``doc_id`` is in ``doc_ids``; other frames are never decompressed."""
     schema = "doc_id long, ids array<long>"
@@ -242,10 +247,10 @@ def fetch_documents(spark: SparkSession, folder: str, doc_ids: DataFrame) -> Dat
                 for doc_id, k in zip(rows["doc_id"], rows["k"], strict=True):
                     yield pd.DataFrame({"doc_id": [doc_id], "ids": [reader.document(k).astype("i8")]})
 
-    shards = spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest").select("shard").repartition("shard")
+    shards = spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest").select("shard").repartition(_tasks(spark), "shard")
     places = shards.mapInPandas(index, "doc_id long, shard int, k long")
     wanted = doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    return places.join(wanted, "doc_id").repartition("shard", F.floor(F.col("k") / 1000)).mapInPandas(read, schema)
+    return places.join(wanted, "doc_id").repartition(_tasks(spark), F.col("shard"), F.floor(F.col("k") / 1000)).mapInPandas(read, schema)
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
