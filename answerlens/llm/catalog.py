@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from answerlens.llm import decontamination, packing, simhash, token_files
+from answerlens.llm import decontamination, line_dedup, packing, simhash, token_files
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op5_packing": packing.op5_packing,
     "op6_decontamination": decontamination.op6_decontamination,
     "op9_simhash_trie": simhash.op9_simhash_trie,
 }
 ORACLES = {
+    "op3_line_dedup": line_dedup.ORACLE,
     "op6_decontamination": decontamination.ORACLE,
 }
