@@ -106,7 +106,7 @@ def thresholds(measured: DataFrame, labels: DataFrame, most_rejected: float = MO
     """Per stratum with labels: ``accepted``, for each rule in order the strictest accepted step (null: the rule is off)."""
     good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     held = failed_steps(measured.join(good, "doc_id"))
-    strata = held.groupBy("stratum").agg(F.count("*").alias("n"))
+    strata = settled(held.groupBy("stratum").agg(F.count("*").alias("n")), "quality-strata")
     counts = held.select("stratum", F.posexplode("steps").alias("rule", "step")).groupBy("stratum", "rule", "step").agg(F.count("*").alias("failed"))
     # A small table: strata x rules x steps. A document that fails a step fails all stricter ones.
     rules = F.explode(F.sequence(F.lit(0), F.lit(len(RULES) - 1))).alias("rule")
@@ -116,9 +116,8 @@ def thresholds(measured: DataFrame, labels: DataFrame, most_rejected: float = MO
         "failed", F.expr("aggregate(coalesce(by_step, array()), 0L, (t, x) -> t + if(x.step <= step, x.failed, 0L))")
     )
     share = F.lit(most_rejected / len(RULES))
-    limit = F.lit(error) / (F.lit(len(RULES)) * F.col("n_strata"))
-    tested = cells.crossJoin(strata.agg(F.count("*").alias("n_strata")))  # one row: the number of strata
-    passed = tested.where(F.col("failed") <= share * F.col("n")).where(binomial_tail(F.col("failed"), F.col("n"), share) <= limit)
+    limit = F.lit(error / (len(RULES) * max(1, strata.count())))
+    passed = cells.where(F.col("failed") <= share * F.col("n")).where(binomial_tail(F.col("failed"), F.col("n"), share) <= limit)
     best = passed.groupBy("stratum", "rule").agg(F.max("step").alias("step"))
     pairs = best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "step"))).alias("by_rule"))
     return pairs.select("stratum", F.transform(F.sequence(F.lit(0), F.lit(len(RULES) - 1)), lambda k: F.try_element_at("by_rule", k)).alias("accepted"))
