@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from answerlens.llm import decontamination, line_dedup, packing, quality, secrets, simhash, token_files
+from answerlens.llm import decontamination, licenses, line_dedup, packing, quality, secrets, simhash, token_files
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_license_scan": licenses.op4_license_scan,
     "op5_packing": packing.op5_packing,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_secret_scan": secrets.op7_secret_scan,
