@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from answerlens.llm import decontamination, licenses, line_dedup, packing, quality, secrets, simhash, token_files
+from answerlens.llm import decontamination, licenses, line_dedup, packing, quality, secrets, simhash, token_files, toxicity
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_license_scan": licenses.op4_license_scan,
     "op5_packing": packing.op5_packing,
@@ -15,6 +16,7 @@ QUERIES = {
     "op9_simhash_trie": simhash.op9_simhash_trie,
 }
 ORACLES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_line_dedup": line_dedup.ORACLE,
     "op6_decontamination": decontamination.ORACLE,
 }

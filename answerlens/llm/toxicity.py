@@ -1,7 +1,7 @@
 """Toxicity classifier with counterfactual regularisation.
 
-A logistic regression over words, with the logarithm of one plus a word's count as feature. Words are chosen by how far
-their document frequency differs between toxic and other labelled texts. For every labelled sentence with an identity
+A logistic regression over words and beginnings of words (6 to 8 bytes), with the logarithm of one plus the count as
+feature. Features are chosen by how far their document frequency differs between toxic and other labelled texts. For every labelled sentence with an identity
 term, copies are made with the term swapped for another one of its group, and the squared change of the linear score is a
 penalty, so a mention of a group alone moves no score.
 
@@ -12,6 +12,7 @@ text, in one narrow pass, with the words' weights alone.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from typing import NamedTuple
 
@@ -28,6 +29,7 @@ MOST_ROWS = 20_000
 MOST_WORDS = 5_000
 LEAST_Z = 5.0
 LEAST_DOCS = 5
+BEGINNINGS = (6, 7, 8)
 
 # Identity terms by group; a term is swapped for the others of its group.
 IDENTITY_GROUPS = (
@@ -64,16 +66,38 @@ def words(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(_SEPARATORS).split()
 
 
+def beginnings(word: bytes) -> list[bytes]:
+    """The features of a word besides itself: its beginnings, marked by a star, which no word contains."""
+    return [word[:k] + b"*" for k in BEGINNINGS if len(word) > k]
+
+
+class Vocabulary:
+    """Known features, by their kind, for counting them in a text."""
+
+    def __init__(self, features):
+        self.words = frozenset(f for f in features if not f.endswith(b"*"))
+        self.beginnings = {k: frozenset(f[:-1] for f in features if f.endswith(b"*") and len(f) == k + 1) for k in BEGINNINGS}
+
+    def counts(self, text: str) -> dict[bytes, int]:
+        cut = words(text)
+        found = Counter(filter(self.words.__contains__, cut))
+        for k, known in self.beginnings.items():
+            if known:
+                for begin, n in Counter(filter(known.__contains__, [w[:k] for w in cut if len(w) > k])).items():
+                    found[begin + b"*"] = n
+        return found
+
+
 class Model(NamedTuple):
     bias: float
     weights: dict[bytes, float]
 
-    def score(self, text: str) -> float:
-        weights = self.weights
-        total = self.bias
-        for word, n in Counter(filter(weights.__contains__, words(text))).items():
-            total += weights[word] * np.log1p(n)
-        return float(1 / (1 + np.exp(-np.clip(total, -500, 500))))
+    def scores(self, texts) -> list[float]:
+        weights, vocabulary, out = self.weights, Vocabulary(self.weights), []
+        for text in texts:
+            total = self.bias + sum(weights[f] * math.log1p(n) for f, n in sorted(vocabulary.counts(text).items()))
+            out.append(1 / (1 + math.exp(-min(max(total, -500.0), 500.0))))
+        return out
 
 
 def swaps(counts: dict[bytes, int], groups=IDENTITY_GROUPS) -> list[dict[bytes, int]]:
@@ -85,9 +109,10 @@ def swaps(counts: dict[bytes, int], groups=IDENTITY_GROUPS) -> list[dict[bytes,
             if n := counts.get(term):
                 for other in terms:
                     if other != term:
-                        changed = dict(counts)
-                        del changed[term]
-                        changed[other] = changed.get(other, 0) + n
+                        changed = Counter(counts)
+                        for feature in (term, *beginnings(term)):
+                            changed[feature] = max(0, changed[feature] - n)
+                        changed.update(dict.fromkeys((other, *beginnings(other)), n))
                         out.append(changed)
     return out
 
@@ -111,7 +136,7 @@ class _Sparse:
         return np.bincount(self.row, self.value**2, self.shape[0])
 
 
-def fit(counts: list[dict[bytes, int]], toxic: list[int], vocabulary: list[bytes], swap_penalty: float = 10.0, l2: float = 1e-4, steps: int = 400, groups=IDENTITY_GROUPS) -> Model:
+def fit(counts: list[dict[bytes, int]], toxic: list[int], vocabulary: list[bytes], swap_penalty: float = 10.0, l2: float = 1e-5, steps: int = 800, groups=IDENTITY_GROUPS) -> Model:
     """Logistic regression by accelerated gradient descent; ``swap_penalty`` weighs the squared score changes of swaps.
 
     Without both classes there is nothing to learn, and every text gets the smoothed share of toxic ones.
@@ -178,9 +203,9 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_w
         for batch in batches:
             seen: dict[bytes, list[int]] = {}
             for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
-                for word in set(words(text.as_py())):
-                    if len(word) <= 64:
-                        seen.setdefault(word, [0, 0])[toxic] += 1
+                cut = {w for w in words(text.as_py()) if len(w) <= 64}
+                for feature in cut | {b for w in cut for b in beginnings(w)}:
+                    seen.setdefault(feature, [0, 0])[toxic] += 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(seen), pa.binary()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())],
                 ["word", "clean", "toxic"],
@@ -195,11 +220,11 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_w
     identity = {t.encode() for group in IDENTITY_GROUPS for t in group}
     chosen = statistics.withColumn("z", F.abs(z)).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(most_words).select("word").collect()
     vocabulary = sorted({bytes(r["word"]) for r in chosen} | identity)
-    known = frozenset(vocabulary)
 
     def rows(batches):
+        known = Vocabulary(vocabulary)
         for batch in batches:
-            found = [Counter(filter(known.__contains__, words(t.as_py()))) for t in batch.column("text")]
+            found = [known.counts(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([list(c) for c in found], pa.list_(pa.binary())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32())), batch.column("toxic").cast(pa.int32())],
                 ["words", "counts", "toxic"],
@@ -218,7 +243,7 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text", score_col
 
     def run(batches):
         for batch in batches:
-            scores = [sent.value.score(t.as_py() or "") for t in batch.column(place)]
+            scores = sent.value.scores(t.as_py() or "" for t in batch.column(place))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, score_col])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(score_col, DoubleType()))
