@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from answerlens.llm import decontamination, licenses, line_dedup, packing, quality, secrets, simhash, token_files, toxicity
+from answerlens.llm import decontamination, html_text, licenses, line_dedup, packing, quality, secrets, simhash, token_files, toxicity
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_simhash_trie": simhash.op9_simhash_trie,
+    "op10_html_text": html_text.op10_html_text,
 }
 ORACLES = {
     "op2_toxicity": toxicity.op2_toxicity,
