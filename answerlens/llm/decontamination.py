@@ -178,19 +178,21 @@ def _automaton(key: bytes, items: list, window: int) -> Automaton:
 def item_chunks(benchmark: DataFrame, most_words: int, id_col: str, text_col: str):
     """Yield lists of (item id as text, text), of about ``most_words`` words each; one list is on the driver at a time."""
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    items = items.where(F.col("text") != "")
+    items = items.where(F.col("text") != "").distinct()
     size = F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
     chunk = F.lit(0)
     n = max(1, -(-(items.agg(F.sum(size)).first()[0] or 0) // most_words))
+    chunks = [0]
     while n > 1:
         chunk = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-        sizes = items.groupBy(chunk.alias("chunk")).agg(F.sum(size).alias("n"), F.count("*").alias("items"))
-        if sizes.where((F.col("n") > most_words) & (F.col("items") > 1)).isEmpty() or n > 1 << 20:
+        sizes = items.groupBy(chunk.alias("chunk")).agg(F.sum(size).alias("n"), F.count("*").alias("items")).collect()
+        chunks = sorted(r["chunk"] for r in sizes)
+        # A chunk of one item is as small as it gets.
+        if all(r["n"] <= most_words or r["items"] == 1 for r in sizes):
             break
         n *= 2
-    for k in range(n):
-        rows = items.where(chunk == k).collect() if n > 1 else items.collect()
-        yield sorted({(r["item"], r["text"]) for r in rows}, key=repr)
+    for k in chunks:
+        yield sorted(((r["item"], r["text"]) for r in items.where(chunk == k).collect()), key=repr)
 
 
 def match_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_words: int = MOST_WORDS, carried: tuple[str, ...] = (), item_id: str = "item_id", item_text: str = "text") -> DataFrame:

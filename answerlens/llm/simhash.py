@@ -264,7 +264,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, text_hash, fp, component_id (smallest id reachable by links, its own included).
+    """Per row: doc_id, text_hash, fp, component (its smallest fingerprint) and component_id (its smallest id).
 
     A null text counts as empty; all texts without words share the fingerprint 0. A row without an id gets the smallest
     id of its component, null if no row of it has one. An empty table gives no row.
@@ -274,27 +274,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = settled(components(links(distinct)), "components")
     linked = found.join(distinct, found["vertex"] == distinct["fp"]).select("root", "fp", "least_id")
     ids = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_linked = linked.join(ids, "root").select(F.col("fp").alias("linked"), "component_id")
+    of_linked = linked.join(ids, "root").select(F.col("fp").alias("linked"), "root", "component_id")
     named = distinct.join(of_linked, F.col("fp") == F.col("linked"), "left").select(
-        "fp", F.when(F.col("linked").isNull(), F.col("least_id")).otherwise(F.col("component_id")).alias("component_id")
+        "fp",
+        F.coalesce("root", "fp").alias("component"),
+        F.when(F.col("linked").isNull(), F.col("least_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
-    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "component", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with all their columns, one of each component: the one of the smallest id.
 
-    Rows of one id and text are one document. Of a component without any id, one row stays.
+    Rows of one id and text are one document. Of a component without any id, one document stays.
     """
 
     def key(doc_id, text_hash):
         return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), text_hash.cast("string"))
 
     found = near_duplicates(docs, id_col, text_col)
-    # A component without ids is told apart by its own text hash only when it is alone, so the fingerprint names it.
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp "), F.col("fp").cast("string")))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
-    kept = found.groupBy(group.alias("group")).agg(F.min(order).alias("first"))
+    kept = found.groupBy("component").agg(F.min(order).alias("first"))
     keys = kept.select(key(F.col("first.doc_id"), F.col("first.text_hash")).alias("_kept_key")).distinct()
     own = key(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     return docs.withColumn("_kept_key", own).join(keys, "_kept_key").dropDuplicates(["_kept_key"]).drop("_kept_key").select(*docs.columns)
