@@ -90,10 +90,11 @@ def citation_domains(facts: Facts) -> DataFrame:
 
 def _stage_shares(facts: Facts, brands: DataFrame) -> DataFrame:
     """``stage, ord, brand_name, mention_share_pct`` for every stage seen and every seed brand."""
-    seeds = brands.agg(F.sort_array(F.collect_list(F.struct("ord", "brand_name")))).scalar()
+    # The stages are few: they go to the brands, which may be many.
     totals = facts.responses.groupBy("stage").agg(F.count_distinct("prompt_id").alias("prompts"))
-    grid = totals.select("stage", "prompts", F.explode(seeds).alias("seed")).select(
-        "stage", "prompts", "seed.ord", "seed.brand_name"
+    stages = totals.agg(F.collect_list(F.struct("stage", "prompts"))).scalar()
+    grid = brands.select("ord", "brand_name", F.explode(stages).alias("total")).select(
+        "total.stage", "total.prompts", "ord", "brand_name"
     )
     counts = facts.mentions.groupBy("stage", "brand_name").agg(F.count_distinct("response_id").alias("n"))
     same = grid.stage.eqNullSafe(counts.stage) & (grid.brand_name == counts.brand_name)

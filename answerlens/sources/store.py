@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from answerlens.schemas import CITATION_ITEMS, CITATIONS, MENTION_ITEMS, MENTION
 
 TABLES = {"responses": RESPONSES, "mentions": MENTIONS, "citations": CITATIONS}
 
+SAFE_RUN_ID = re.compile(r"[A-Za-z0-9._-]+")
+
 # What the responses table keeps besides its own columns, so that the other two tables and the run
 # summary come from it without a second pass over the texts.
 PARSED = {"mention_items": MENTION_ITEMS, "citation_items": CITATION_ITEMS, "from_grounding": "boolean"}
@@ -21,7 +25,7 @@ PARSED = {"mention_items": MENTION_ITEMS, "citation_items": CITATION_ITEMS, "fro
 class FactStore:
     """Responses, mentions and citations as Parquet, one partition per run.
 
-    Writing a run again replaces its partition, so a job that was lost half-way is simply repeated.
+    Writing a run again replaces its folder in every table, so a job that was lost half-way is simply repeated.
     Tables that do not exist yet read as empty ones.
     """
 
@@ -76,37 +80,50 @@ class FactStore:
         row = self.before_run(table, run_id).agg(F.coalesce(F.max("id"), F.lit(0)) + 1).first()
         return row[0]
 
-    def _write(self, table: str, rows: DataFrame, run_id: str, refresh: bool) -> None:
-        mode = "static" if refresh else "dynamic"
-        writer = rows.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").partitionBy("run_id")
-        writer.option("partitionOverwriteMode", mode).parquet(self.path(table))
+    def _run_path(self, table: str, run_id: str) -> str:
+        if not SAFE_RUN_ID.fullmatch(run_id):
+            raise ValueError(f"a run id has letters, digits and . _ - only: {run_id!r}")
+        return f"{self.path(table)}/run_id={run_id}"
+
+    def _write(self, table: str, rows: DataFrame, run_id: str) -> None:
+        """Replace one run of a table, also by no rows at all."""
+        rows.write.mode("overwrite").parquet(self._run_path(table, run_id))
+
+    def _drop_runs(self) -> None:
+        for name, schema in TABLES.items():
+            empty(self.spark, schema).write.mode("overwrite").parquet(self.path(name))
 
     def write_run(self, parsed: DataFrame, run_id: str, refresh: bool = False) -> None:
-        """Append the parsed answers of a run to all three tables; ``refresh`` clears them first.
+        """Write the parsed answers of a run to all three tables; ``refresh`` clears them first.
+
+        Whatever the run held before is replaced in all three, also where it now has no rows. ``parsed`` must not
+        read this store if it is refreshed. Two runs must not be written at the same time: ids go on from the highest.
 
         Ids are given when the responses are written. Mentions and citations are read back from there,
         so a recomputed task cannot give an answer another id.
         """
         starts = {name: self.first_id(name, run_id) for name in TABLES}
+        if refresh:
+            self._drop_runs()
         stamped = with_unique_ids(parsed, starts["responses"]).withColumn("timestamp", F.current_timestamp())
-        self._write("responses", stamped.select(*RESPONSES.names, *PARSED), run_id, refresh)
+        self._write("responses", stamped.select(*RESPONSES.names, *PARSED), run_id)
         written = self.parsed_run(run_id)
         for table, items in (("mentions", "mention_items"), ("citations", "citation_items")):
             rows = written.select(F.col("id").alias("response_id"), F.explode(items).alias("item"))
             numbered = with_unique_ids(rows.select("response_id", "item.*"), starts[table])
-            self._write(table, numbered.select(*TABLES[table].names), run_id, refresh)
+            self._write(table, numbered.select(*TABLES[table].names), run_id)
 
     def write_snapshot(self, facts: Facts, run_id: str = "snapshot") -> None:
         """Write whole tables, such as the outcome of a delete, as the only content of this store.
 
         The rows must not come from this store itself; a new snapshot goes to a new folder.
         """
+        self._drop_runs()
         for name, schema in TABLES.items():
-            self._write(name, getattr(facts, name).select(*schema.names), run_id, refresh=True)
+            self._write(name, getattr(facts, name).select(*schema.names), run_id)
 
     def clear(self) -> None:
-        for name, schema in TABLES.items():
-            self._write(name, empty(self.spark, schema), "cleared", refresh=True)
+        self._drop_runs()
 
 
 def create_tables(spark: SparkSession, database: str, buckets: int) -> None:

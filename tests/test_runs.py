@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from answerlens.operators import facts as fx
 from answerlens.operators import metrics
@@ -158,6 +159,33 @@ def test_bucketed_tables_join_without_shuffle(spark, landing, brands, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_repeated_run_without_mentions_or_answers(spark, landing, brands, tmp_path):
+    store = FactStore(spark, str(tmp_path / "facts"))
+    run_pipeline(landing, brands, store, "kept")
+    run_pipeline(landing, brands, store, "one")
+    nobody = spark.createDataFrame([(0, "Nobody")], "ord int, brand_name string")
+    stats = run_pipeline(landing, nobody, store, "one").first()
+    assert (stats.processed, stats.total_mentions) == (3, 0)
+    assert (store.responses.count(), store.mentions.count(), store.citations.count()) == (6, 4, 8)
+    assert fx.orphans(store.mentions, store.responses).count() == 0
+    failed = landing.withColumn("error", F.lit("quota"))
+    stats = run_pipeline(failed, brands, store, "one").first()
+    assert (stats.processed, stats.api_errors, stats.total_citations) == (0, 5, 0)
+    assert (store.responses.count(), store.mentions.count(), store.citations.count()) == (3, 4, 4)
+    with pytest.raises(ValueError, match="run id"):
+        run_pipeline(landing, brands, store, "../one")
+
+
+def test_two_streams_into_one_store(spark, brands, tmp_path):
+    store = FactStore(spark, str(tmp_path / "facts"))
+    for n, name in enumerate(("a", "b"), 1):
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / "x.json").write_text(json.dumps({"prompt_id": n, "platform": "gemini", "raw_text": "HubSpot"}))
+        ingest(store, brands, str(folder), str(tmp_path / f"progress-{name}"), stream=name).awaitTermination()
+    assert state(store.responses, "prompt_id") == [(1,), (2,)]
+
+
 def test_stream(spark, brands, tmp_path):
     store = FactStore(spark, str(tmp_path / "facts"))
     folder = tmp_path / "landing"
@@ -168,7 +196,7 @@ def test_stream(spark, brands, tmp_path):
         (folder / name).write_text(json.dumps(row))
 
     def run():
-        ingest(store, brands, str(folder), str(tmp_path / "progress")).awaitTermination()
+        ingest(store, brands, str(folder), str(tmp_path / "progress"), stream="answers").awaitTermination()
 
     land("a.json", 1, "HubSpot is best.")
     run()
