@@ -119,7 +119,8 @@ class Automaton:
         return clone
 
     def match(self, text: list[bytes]) -> tuple[list[tuple[int, int]], set, int]:
-        """Marked spans of word positions (start, end), merged; the labels of items found; the longest run matched."""
+        """Marked spans of word positions (start, end), merged; the labels of items found; the longest run
+        matched, which counts only from the length of the shortest window on."""
         if not self.vocabulary or len(text) < self.least:
             return [], set(), 0
         ids = np.fromiter(map(self.vocabulary.__getitem__, text), np.int32, len(text))

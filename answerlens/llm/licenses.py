@@ -20,10 +20,10 @@ from answerlens.llm.spans import places
 
 # Base phrases and their labels: fixed.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-# Every rule's keyword contains one of these.
+# Every match of a rule contains one of these.
 GATES = (
     "licen", "copyright", "reserved", "public domain", "creative commons", "cc by", "cc-by", "cc0", "gpl", "permission",
-    "warrant", "redistribution", "as is", "copyleft", "proprietary", "confidential", "unauthorized", "free software",
+    "warrant", "redistribution", "copyleft", "proprietary", "confidential", "unauthorized", "free software",
     "all copies", "patent", "trademark", "(c) ", "©", "royalty", "no rights", "dedicat",
 )
 
@@ -37,29 +37,29 @@ _SIGNATURES = (
     ("bsd", 60, "redistribution", r"redistribution and use in source and binary forms, with or without modification, are permitted"),
     ("bsd-3-clause", 65, "permission", r"neither the name of [^\n]{1,80} nor the names of its contributors may be used"),
     ("bsd-4-clause", 65, "copyright", r"all advertising materials mentioning features or use of this software must display"),
-    ("apache", 60, "licen", r"unless required by applicable law or agreed to in writing, software distributed under the license"),
-    ("apache-2.0", 70, "licen", r"licensed under the apache license, version 2\.0"),
-    ("apache-2.0", 60, "licen", r"www\.apache\.org/licenses/license-2\.0"),
+    ("apache", 60, "applicable law", r"unless required by applicable law or agreed to in writing, software distributed under the license"),
+    ("apache-2.0", 70, "apache", r"licensed under the apache license, version 2\.0"),
+    ("apache-2.0", 60, "apache.org", r"www\.apache\.org/licenses/license-2\.0"),
     ("gpl", 60, "free software", r"(?:is|this program is) free software[:;] you can redistribute it and/or modify it under the terms"),
     ("gpl", 55, "warrant", r"without any warranty; without even the implied warranty of merchantability or fitness"),
-    ("gpl", 55, "licen", r"you should have received a copy of the gnu general public license"),
-    ("lgpl", 60, "licen", r"you should have received a copy of the gnu (?:lesser|library) general public license"),
-    ("agpl", 60, "licen", r"you should have received a copy of the gnu affero general public license"),
-    ("mpl", 60, "licen", r"this source code form is subject to the terms of the mozilla public license"),
-    ("mpl", 60, "licen", r"the contents of this file are subject to the mozilla public license"),
-    ("epl", 60, "licen", r"this program and the accompanying materials are made available under the terms of the eclipse public license"),
-    ("cddl", 60, "licen", r"subject to the terms of the common development and distribution license"),
-    ("boost", 60, "licen", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("gpl", 55, "received a copy", r"you should have received a copy of the gnu general public license"),
+    ("lgpl", 60, "received a copy", r"you should have received a copy of the gnu (?:lesser|library) general public license"),
+    ("agpl", 60, "affero", r"you should have received a copy of the gnu affero general public license"),
+    ("mpl", 60, "mozilla", r"this source code form is subject to the terms of the mozilla public license"),
+    ("mpl", 60, "mozilla", r"the contents of this file are subject to the mozilla public license"),
+    ("epl", 60, "eclipse", r"this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("cddl", 60, "development", r"subject to the terms of the common development and distribution license"),
+    ("boost", 60, "free of charge", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
     ("zlib", 60, "warrant", r"this software is provided ['‘]as[- ]is['’], without any express or implied warranty"),
     ("unlicense", 70, "public domain", r"this is free and unencumbered software released into the public domain"),
-    ("wtfpl", 70, "licen", r"do what the f\S{0,4} you want to public license"),
-    ("beerware", 70, "licen", r"\"?the beer-?ware license\"?"),
+    ("wtfpl", 70, "you want", r"do what the f\S{0,4} you want to public license"),
+    ("beerware", 70, "beer", r"\"?the beer-?ware license\"?"),
     ("cc0", 70, "public domain", r"(?:has waived all copyright|dedicated the work to the public domain)"),
     ("public-domain", 40, "public domain", r"(?:released|placed|dedicated|given) (?:in|in?to) the public domain"),
     ("public-domain", 30, "public domain", r"(?:is|are) in the public domain"),
-    ("ofl", 60, "licen", r"this font software is licensed under the sil open font license"),
-    ("artistic", 60, "licen", r"under the same terms as perl itself|the artistic license"),
-    ("warranty-disclaimer", 20, "as is", r"(?:provided|distributed) (?:by [^\n]{1,60} )?[\"“'‘]?as is[\"”'’]?"),
+    ("ofl", 60, "font", r"this font software is licensed under the sil open font license"),
+    ("artistic", 60, "artistic", r"the artistic license"),
+    ("warranty-disclaimer", 20, "warrant", r"(?:provided|distributed) (?:by [^\n]{1,60} )?[\"“'‘]?as is[\"”'’]?"),
     ("warranty-disclaimer", 15, "warrant", r"without warranty of any kind"),
     ("liability-disclaimer", 15, "copyright", r"in no event shall (?:the )?(?:authors?|copyright (?:holders?|owners?))"),
     ("copyright", 10, "copyright", r"copyright (?:\(c\)|©)? ?(?:19|20)[0-9]{2}"),
@@ -84,48 +84,51 @@ _SIGNATURES = (
     ("unknown-license", 1, "licen", r"(?:licensed|released|distributed|published) under (?:the |a |an )?[^\n.]{1,60} licen[sc]e"),
 )
 
-# License families: label, name as a regex, versions, abbreviation as a regex.
+# License families: label, a word of the name, name as a regex, versions, abbreviation as a regex.
 _FAMILIES = (
-    ("apache", r"apache(?: software)?", ("1.0", "1.1", "2.0"), r"apache"),
-    ("gpl", r"gnu general public", ("1", "2", "3"), r"gpl"),
-    ("lgpl", r"gnu (?:lesser|library) general public", ("2", "2.1", "3"), r"lgpl"),
-    ("agpl", r"gnu affero general public", ("1", "3"), r"agpl"),
-    ("gfdl", r"gnu free documentation", ("1.1", "1.2", "1.3"), r"gfdl"),
-    ("mpl", r"mozilla public", ("1.0", "1.1", "2.0"), r"mpl"),
-    ("epl", r"eclipse public", ("1.0", "2.0"), r"epl"),
-    ("eupl", r"european union public", ("1.0", "1.1", "1.2"), r"eupl"),
-    ("cddl", r"common development and distribution", ("1.0", "1.1"), r"cddl"),
-    ("cpl", r"common public", ("1.0",), r"cpl"),
-    ("cpal", r"common public attribution", ("1.0",), r"cpal"),
-    ("osl", r"open software", ("1.0", "2.0", "2.1", "3.0"), r"osl"),
-    ("afl", r"academic free", ("2.0", "2.1", "3.0"), r"afl"),
-    ("artistic", r"artistic", ("1.0", "2.0"), r"artistic"),
-    ("ofl", r"sil open font", ("1.0", "1.1"), r"ofl"),
-    ("odbl", r"open (?:data commons open )?database", ("1.0",), r"odbl"),
-    ("php", r"php", ("3.0", "3.01"), r"php"),
-    ("python", r"(?:python software foundation|psf)", ("2",), r"psf"),
-    ("ruby", r"ruby", (), r"ruby"),
-    ("boost", r"boost software", ("1.0",), r"bsl"),
-    ("zlib", r"zlib(?:/libpng)?", (), r"zlib"),
-    ("mit", r"(?:mit|expat|x11)", (), r"mit"),
-    ("isc", r"isc", (), r"isc"),
-    ("bsd", r"(?:(?:modified|simplified|new|revised) )?bsd", (), r"bsd"),
-    ("bsd-2-clause", r"bsd[- ]2[- ]clause", (), r"bsd-2-clause"),
-    ("bsd-3-clause", r"bsd[- ]3[- ]clause", (), r"bsd-3-clause"),
-    ("bsd-4-clause", r"bsd[- ]4[- ]clause", (), r"bsd-4-clause"),
-    ("ms-pl", r"microsoft public", (), r"ms-pl"),
-    ("ms-rl", r"microsoft reciprocal", (), r"ms-rl"),
-    ("wtfpl", r"wtfpl", (), r"wtfpl"),
-    ("unlicense", r"unlicense", (), r"unlicense"),
-    ("vim", r"vim", (), r"vim"),
-    ("postgresql", r"postgresql", (), r"postgresql"),
-    ("openssl", r"openssl", (), r"openssl"),
-    ("ncsa", r"(?:university of illinois/ncsa|ncsa) open source", (), r"ncsa"),
-    ("cecill", r"cecill", ("1.0", "2.0", "2.1"), r"cecill"),
-    ("bsl", r"business source", ("1.1",), r"busl"),
-    ("sspl", r"server side public", ("1",), r"sspl"),
-    ("elastic", r"elastic", ("2.0",), r"elastic"),
-    ("upl", r"universal permissive", ("1.0",), r"upl"),
+    ("apache", "apache", r"apache(?: software)?", ("1.0", "1.1", "2.0"), r"apache"),
+    ("gpl", "gnu", r"gnu general public", ("1", "2", "3"), r"gpl"),
+    ("lgpl", "gnu", r"gnu (?:lesser|library) general public", ("2", "2.1", "3"), r"lgpl"),
+    ("agpl", "affero", r"gnu affero general public", ("1", "3"), r"agpl"),
+    ("gfdl", "documentation", r"gnu free documentation", ("1.1", "1.2", "1.3"), r"gfdl"),
+    ("mpl", "mozilla", r"mozilla public", ("1.0", "1.1", "2.0"), r"mpl"),
+    ("epl", "eclipse", r"eclipse public", ("1.0", "2.0"), r"epl"),
+    ("eupl", "european", r"european union public", ("1.0", "1.1", "1.2"), r"eupl"),
+    ("cddl", "development", r"common development and distribution", ("1.0", "1.1"), r"cddl"),
+    ("cpl", "common", r"common public", ("1.0",), r"cpl"),
+    ("cpal", "attribution", r"common public attribution", ("1.0",), r"cpal"),
+    ("osl", "open", r"open software", ("1.0", "2.0", "2.1", "3.0"), r"osl"),
+    ("afl", "academic", r"academic free", ("2.0", "2.1", "3.0"), r"afl"),
+    ("artistic", "artistic", r"artistic", ("1.0", "2.0"), r"artistic"),
+    ("ofl", "font", r"sil open font", ("1.0", "1.1"), r"ofl"),
+    ("odbl", "database", r"open (?:data commons open )?database", ("1.0",), r"odbl"),
+    ("php", "php", r"php", ("3.0", "3.01"), r"php"),
+    ("python", "python software", r"python software foundation", ("2",), r"psf"),
+    ("python", "psf", r"psf", ("2",), r"psf"),
+    ("ruby", "ruby", r"ruby", (), r"ruby"),
+    ("boost", "boost", r"boost software", ("1.0",), r"bsl"),
+    ("zlib", "zlib", r"zlib(?:/libpng)?", (), r"zlib"),
+    ("mit", "mit", r"mit", (), r"mit"),
+    ("mit", "expat", r"expat", (), r"expat"),
+    ("mit", "x11", r"x11", (), r"x11"),
+    ("isc", "isc", r"isc", (), r"isc"),
+    ("bsd", "bsd", r"(?:(?:modified|simplified|new|revised) )?bsd", (), r"bsd"),
+    ("bsd-2-clause", "bsd", r"bsd[- ]2[- ]clause", (), r"bsd-2-clause"),
+    ("bsd-3-clause", "bsd", r"bsd[- ]3[- ]clause", (), r"bsd-3-clause"),
+    ("bsd-4-clause", "bsd", r"bsd[- ]4[- ]clause", (), r"bsd-4-clause"),
+    ("ms-pl", "microsoft", r"microsoft public", (), r"ms-pl"),
+    ("ms-rl", "microsoft", r"microsoft reciprocal", (), r"ms-rl"),
+    ("wtfpl", "wtfpl", r"wtfpl", (), r"wtfpl"),
+    ("unlicense", "unlicense", r"unlicense", (), r"unlicense"),
+    ("vim", "vim", r"vim", (), r"vim"),
+    ("postgresql", "postgresql", r"postgresql", (), r"postgresql"),
+    ("openssl", "openssl", r"openssl", (), r"openssl"),
+    ("ncsa", "ncsa", r"(?:university of illinois/ncsa|ncsa) open source", (), r"ncsa"),
+    ("cecill", "cecill", r"cecill", ("1.0", "2.0", "2.1"), r"cecill"),
+    ("bsl", "business", r"business source", ("1.1",), r"busl"),
+    ("sspl", "server", r"server side public", ("1",), r"sspl"),
+    ("elastic", "elastic", r"elastic", ("2.0",), r"elastic"),
+    ("upl", "universal", r"universal permissive", ("1.0",), r"upl"),
 )
 _CC = tuple("-".join(x) for x in (("by",), ("by", "sa"), ("by", "nd"), ("by", "nc"), ("by", "nc", "sa"), ("by", "nc", "nd")))
 _CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
@@ -139,18 +142,18 @@ def _spaced(regex: str) -> str:
 def rules() -> list[dict]:
     """All rules in order: priority, then as they stand. Regexes match whatever the case of ASCII letters."""
     out = [dict(label=label, priority=p, keyword=k, regex=_spaced(r)) for label, p, k, r in _SIGNATURES]
-    for label, name, versions, short in _FAMILIES:
+    for label, key, name, versions, short in _FAMILIES:
         named = rf"\b{name} licen[sc]e"
         out += [
-            dict(label=label, priority=50, keyword="licen", regex=_spaced(named)),
-            dict(label=label, priority=55, keyword="licen", regex=_spaced(rf"(?:licensed|released|distributed|published|available) under (?:the |a |an )?(?:terms of (?:the )?)?{name} licen[sc]e")),
-            dict(label=label, priority=90, keyword="licen", regex=_spaced(rf"spdx-license-identifier: ?{short}\b")),
+            dict(label=label, priority=50, keyword=key, regex=_spaced(named)),
+            dict(label=label, priority=55, keyword=key, regex=_spaced(rf"(?:licensed|released|distributed|published|available) under (?:the |a |an )?(?:terms of (?:the )?)?{name} licen[sc]e")),
+            dict(label=label, priority=90, keyword="spdx-license-identifier", regex=_spaced(rf"spdx-license-identifier: ?{short}\b")),
         ]
         for v in versions:
             number = re.escape(v) + ("" if "." in v else r"(?:\.0)?")
             out += [
-                dict(label=f"{label}-{v}", priority=75, keyword="licen", regex=_spaced(rf"\b{name} licen[sc]e,? (?:\(\w{{1,8}}\) ?)?(?:version |v\.? ?)?{number}(?![0-9.]*[0-9])")),
-                dict(label=f"{label}-{v}", priority=95, keyword="licen", regex=_spaced(rf"spdx-license-identifier: ?{short}[- ]?v?{number}(?:-only|-or-later|\+)?(?![0-9.])")),
+                dict(label=f"{label}-{v}", priority=75, keyword=key, regex=_spaced(rf"\b{name} licen[sc]e,? (?:\(\w{{1,8}}\) ?)?(?:version |v\.? ?)?{number}(?![0-9.]*[0-9])")),
+                dict(label=f"{label}-{v}", priority=95, keyword="spdx-license-identifier", regex=_spaced(rf"spdx-license-identifier: ?{short}[- ]?v?{number}(?:-only|-or-later|\+)?(?![0-9.])")),
             ]
     for label in ("gpl", "lgpl", "agpl"):
         out.append(dict(label=label, priority=30, keyword="gpl", regex=rf"\b{label}(?:[- ]?v?[0-9](?:\.[0-9])?)?\b"))
@@ -164,7 +167,7 @@ def rules() -> list[dict]:
         words = "[- ]".join(_CC_NAMES[x] for x in parts.split("-"))
         out += [
             dict(label=f"cc-{parts}", priority=60 + len(parts), keyword="creative commons", regex=_spaced(rf"creative commons {words}")),
-            dict(label=f"cc-{parts}", priority=60 + len(parts), keyword="licen", regex=rf"creativecommons\.org/licenses/{parts}/"),
+            dict(label=f"cc-{parts}", priority=60 + len(parts), keyword="creativecommons.org", regex=rf"creativecommons\.org/licenses/{parts}/"),
         ]
     out += [
         dict(label="cc", priority=20, keyword="creative commons", regex=_spaced(r"creative commons")),
@@ -180,17 +183,20 @@ DETECTIONS = "array<struct<start:int,end:int,label:string,priority:int,number:in
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def detections(text: Column, low: Column, signatures: list[dict]) -> Column:
-    """Detections of the rules whose keyword occurs, before suppression."""
+def keywords(signatures: list[dict]) -> Column:
+    """The keywords of the rules, as an array."""
+    return F.array(*(F.lit(k) for k in sorted({r["keyword"] for r in signatures})))
+
+
+def detections(text: Column, present: Column, signatures: list[dict]) -> Column:
+    """Detections of the rules whose keyword is among those present, before suppression."""
     table = F.from_json(F.lit(json.dumps(signatures)), f"array<{_RULE}>")
-    keywords = F.array(*(F.lit(k) for k in sorted({r["keyword"] for r in signatures})))
-    present = F.filter(keywords, lambda k: F.contains(low, k))
 
     def run(rule):
         found = places(text, rule["regex"])
         return F.transform(found, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), rule["label"].alias("label"), rule["priority"].alias("priority"), rule["number"].alias("number")))
 
-    chosen = F.filter(table, lambda r: F.array_contains(present, r["keyword"]))
+    chosen = F.filter(table, lambda r: F.array_contains(present, r["keyword"]) & F.rlike(text, r["regex"]))
     return F.flatten(F.transform(chosen, run))
 
 
@@ -222,8 +228,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = rows.withColumns({
         "n_words": F.regexp_count("text", F.lit(_WORD)).cast("long"),
         "words": F.when(maybe, F.regexp_extract_all("low", F.lit(_WORD), F.lit(0))),
-        "raw": F.when(gates, detections(F.col("text"), F.col("low"), signatures)).otherwise(F.array().cast(DETECTIONS)),
+        "present": F.when(gates, F.filter(keywords(signatures), lambda k: F.contains(F.col("low"), k))),
     })
+    # A column of its own, so that it is not evaluated again for every rule.
+    some = F.size("present") > 0
+    rows = rows.withColumn("raw", F.when(some, detections(F.col("text"), F.col("present"), signatures)).otherwise(F.array().cast(DETECTIONS)))
     starts = F.sequence(F.lit(0), F.size("words") - 1)
 
     def occurrences(phrase: str, label: str) -> Column:

@@ -156,7 +156,7 @@ def test_automaton_equals_brute_force():
                         hit |= set(range(i, i + n))
                         want.add(str(item))
         assert {p for a, b in spans for p in range(a, b)} == hit and found == want, (trial, items, text)
-        assert longest in (0, most)
+        assert longest == most or most < tool.least  # shorter stretches are not looked at
 
 
 def test_decontamination_of_odd_rows(spark, odd, none):
