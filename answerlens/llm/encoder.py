@@ -14,6 +14,8 @@ import re
 import numpy as np
 
 _BEYOND_LATIN = re.compile("[^\u0000-˿]")
+# About 250 bytes a word.
+CACHE_WORDS = 700_000
 _TAIL = b".,!"
 _ENDS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 
@@ -27,7 +29,7 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
 class Encoder:
     """Encodes texts; one instance per worker. ``cache_words`` bounds its memory, never its results."""
 
-    def __init__(self, path: str, end_id: int = 1, cache_words: int = 700_000):
+    def __init__(self, path: str, end_id: int = 1, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -91,11 +93,12 @@ class Encoder:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, end_id: int = 1) -> Encoder:
+def encoder(path: str, end_id: int = 1, cache_words: int = CACHE_WORDS) -> Encoder:
     """The encoder of this worker process; kept between tasks, as its cache is."""
-    key = path, end_id
+    key = path, end_id, cache_words
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(path, end_id)
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(path, end_id, cache_words)
     return _ENCODERS[key]
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from answerlens.llm.common import documents, id_and_text, settled
-from answerlens.llm.encoder import encoder, in_blocks, public_tokenizer
+from answerlens.llm.encoder import CACHE_WORDS, encoder, in_blocks, public_tokenizer
 
 CAPACITY = 2048
 _MEASURED = "doc_id long, part int, doc_tokens long, rest int, rest_rank long, full_rank long, crcs array<long>"
@@ -85,14 +85,14 @@ def slots(patterns: list[tuple[int, list[tuple[int, int]]]], capacity: int = CAP
     return {length: tuple(np.array(x, np.int64) for x in zip(*rows, strict=True)) for length, rows in runs.items()}, sequence
 
 
-def measure(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
+def measure(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Per document: number of ids, what is left after the full pieces, checksums of its pieces, ranks within its task."""
 
     def run(batches):
         part, ranks, full = TaskContext.get().partitionId(), {}, 0
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), []
-            tool = encoder(tokenizer, end_id)
+            tool = encoder(tokenizer, end_id, cache_words)
             for start, block in in_blocks(t.as_py() for t in batch.column(1)):
                 for doc_id, found in zip(ids[start : start + len(block)], tool.encode(block), strict=True):
                     whole = found.astype("<u4")
@@ -110,13 +110,14 @@ def measure(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> Data
     return docs.mapInArrow(run, _MEASURED)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
     """Pieces of all documents with their sequence, offset and the padding of that sequence.
 
+    ``cache_words`` bounds the words a worker remembers ids of: memory against time, without effect on results.
     A null text is an empty document (the end id alone). Repeated rows and rows without an id are documents of their
     own. A sequence whose length is a power of two needs no padding. An empty table gives no piece.
     """
-    measured = settled(measure(id_and_text(docs, id_col, text_col), tokenizer, end_id, capacity), "packing")
+    measured = settled(measure(id_and_text(docs, id_col, text_col), tokenizer, end_id, capacity, cache_words), "packing")
     # One row per task and length; no group is larger than a task's rows.
     counts = measured.groupBy("part", "rest").agg(F.count("*").alias("n"))
     before = Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -143,7 +143,7 @@ def fit(counts: list[dict[bytes, int]], toxic: list[int], vocabulary: list[bytes
     """
     y = np.array(toxic, float)
     prior = float((y.sum() + 0.5) / (len(y) + 1))
-    if not vocabulary or y.min(initial=1) == y.max(initial=0):
+    if not vocabulary or len(set(toxic)) < 2:
         return Model(float(np.log(prior / (1 - prior))), {})
     number = {w: i for i, w in enumerate(vocabulary)}
 

@@ -16,6 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from answerlens.llm import common, decontamination, encoder, line_dedup, packing, simhash, toxicity
 
 
+# Executors come to the packing with the heap that earlier stages have grown, so workers remember fewer words.
+CACHE_WORDS = 150_000
+
+
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learnt from the labelled ones among them, scores below the threshold."""
     return toxicity.without_toxic(docs, common.tuned(spark).read.parquet(f"{sf_dir}/labels.parquet"))
@@ -38,7 +42,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in sequences of at most 2048 ids."""
-    return packing.pack(docs, encoder.public_tokenizer())
+    return packing.pack(docs, encoder.public_tokenizer(), cache_words=CACHE_WORDS)
 
 
 STAGES = [

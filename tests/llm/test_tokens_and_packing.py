@@ -116,7 +116,7 @@ def test_packing_equals_brute_force(spark, tokenizer, texts, odd):
 
 def test_patterns_hold_every_piece_and_little_padding():
     rng = np.random.default_rng(5)
-    histogram = Counter(rng.integers(1, 2048, 5000).tolist()) + Counter({1: 3, 2047: 2, 700: 4000})
+    histogram = Counter(rng.integers(1, 2048, 5000).tolist()) + Counter(rng.integers(1, 300, 4000).tolist()) + Counter({1: 3, 2047: 2, 700: 500})
     patterns = packing.shortest_pack_first(histogram)
     placed, padding = Counter(), 0
     for count, items in patterns:
