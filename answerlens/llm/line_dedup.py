@@ -37,16 +37,20 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def windows(keyed: DataFrame, *hashes: str) -> DataFrame:
     """(doc, own, at, hashes) of every window with enough words."""
-    units = keyed.select("doc", "own", F.flatten(lines()).alias("units"))
-    # The number of words is one more than the number of blanks, for three units joined by blanks.
-    made = F.transform(
-        F.sequence(F.lit(0), F.size("units") - SPAN),
-        lambda i: F.struct(i.alias("at"), F.concat_ws("\n", *(F.get("units", i + k) for k in range(SPAN))).alias("window")),
-    )
-    rows = units.where(F.size("units") >= SPAN).select("doc", "own", F.explode(made).alias("w"))
-    rows = rows.where(F.regexp_count("w.window", F.lit(r"[^ \t\r\n]+")) >= MIN_WORDS)
-    seeds = {"hash": F.xxhash64("w.window"), "check": F.xxhash64(F.lit(1), F.col("w.window"))}
-    return rows.select("doc", "own", F.col("w.at").alias("at"), *(seeds[h].alias(h) for h in hashes))
+    counted = F.transform(F.flatten(lines()), lambda u: F.struct(u.alias("unit"), F.regexp_count(u, F.lit(r"[^ \t\r\n]+")).alias("words")))
+    units = keyed.select("doc", "own", counted.alias("units"))
+
+    def window(i: Column) -> Column:
+        parts = [F.get("units", i + k) for k in range(SPAN)]
+        texts = [part["unit"] for part in parts]
+        seeds = {"hash": F.xxhash64(*texts), "check": F.xxhash64(F.lit(1), *texts)}
+        return F.struct(i.alias("at"), sum((p["words"] for p in parts[1:]), parts[0]["words"]).alias("words"), *(seeds[h].alias(h) for h in hashes))
+
+    # Hashed within the row: the texts of windows, thrice those of the documents, are never rows.
+    starts = F.when(F.size("units") >= SPAN, F.sequence(F.lit(0), F.size("units") - SPAN))
+    # The outer form, because to the plain one the optimizer adds a filter that makes all windows a second time.
+    rows = units.select("doc", "own", F.explode_outer(F.transform(starts, window)).alias("w")).where(F.col("w.words") >= MIN_WORDS)
+    return rows.select("doc", "own", F.col("w.at").alias("at"), *(F.col(f"w.{h}").alias(h) for h in hashes))
 
 
 def later_occurrences(keyed: DataFrame) -> DataFrame:
