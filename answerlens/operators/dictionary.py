@@ -7,6 +7,8 @@ to the brands' word sequences instead, and only what matches is checked by regex
    in sequence, are among the word sequences of the text.
 2. Each answer contributes each of its word sequences once, without its text. Spark broadcasts the
    brands while they are below its size threshold; beyond it the join shuffles, and skewed words split.
+   A brand without a word stands between two words wherever it counts, so it is a whole run of other
+   characters; those runs are joined likewise, if there is such a brand.
 3. The candidates of an answer, far fewer than its words, are brought back to the text by its id and
    verified there.
 """
@@ -27,6 +29,11 @@ def words(lowered: Column) -> Column:
     return F.regexp_extract_all(lowered, F.lit(f"{tx.WORD}+"), 0)
 
 
+def gaps(lowered: Column) -> Column:
+    """The runs of characters that belong to no word."""
+    return F.regexp_extract_all(lowered, F.lit(rf"[^{tx.WORD[1:-1]}]+"), 0)
+
+
 def _sequences(tokens: Column, length: int) -> Column:
     """All runs of ``length`` words, joined."""
     if length == 1:
@@ -48,15 +55,15 @@ def _boundary_pattern(key: Column) -> Column:
 
 
 def dictionary(brands: DataFrame) -> DataFrame:
-    """``ord, brand_name, key, pattern, sequence, length`` of the brands that hold at least one word."""
+    """``ord, brand_name, key, pattern, sequence, length`` of the brands; length 0 and the name itself without words."""
     keyed = brands.select("ord", "brand_name", F.lower("brand_name").alias("key"))
     tokenized = keyed.withColumn("_words", words(F.col("key")))
-    return tokenized.filter(F.size("_words") > 0).select(
+    return tokenized.filter("brand_name <> ''").select(
         "ord",
         "brand_name",
         "key",
         F.concat(F.lit(r"(?s)\A.*?"), _boundary_pattern(F.col("key"))).alias("pattern"),
-        F.array_join("_words", JOINT).alias("sequence"),
+        F.when(F.size("_words") > 0, F.array_join("_words", JOINT)).otherwise(F.col("key")).alias("sequence"),
         F.size("_words").alias("length"),
     )
 
@@ -65,18 +72,18 @@ def with_dictionary_hits(
     answers: DataFrame, brands: DataFrame, id_col: str = "landing_id", text_col: str = "raw_text"
 ) -> DataFrame:
     """Same as ``operators.mentions.with_hits``, for a brand table of any size. Ids must be unique.
-
-    Brands without any letter, digit or underscore cannot be found this way and are an error.
     """
     entries = dictionary(brands)
-    wordless = brands.filter(~F.lower("brand_name").rlike(tx.WORD) & (F.col("brand_name") != "")).limit(1).collect()
-    if wordless:
-        raise ValueError(f"brand without a word character: {wordless[0].brand_name!r}")
     # Few distinct values: the word counts of brand names.
     lengths = sorted(row.length for row in entries.select("length").distinct().collect())
 
-    tokenized = answers.select(F.col(id_col).alias("_id"), words(F.lower(text_col)).alias("_words"))
-    sequences = F.array_distinct(F.concat(*[_sequences(F.col("_words"), n) for n in lengths]))
+    if not lengths:
+        return answers.withColumn("hits", F.array().cast(HITS))
+
+    low = F.lower(text_col)
+    tokenized = answers.select(F.col(id_col).alias("_id"), words(low).alias("_words"), gaps(low).alias("_gaps"))
+    runs = [_sequences(F.col("_words"), n) if n else F.col("_gaps") for n in lengths]
+    sequences = F.array_distinct(F.concat(*runs))
     spread = tokenized.select("_id", F.explode_outer(sequences).alias("sequence"))
     candidate = F.struct("ord", "brand_name", "key", "pattern")
     candidates = spread.join(entries, "sequence").groupBy("_id").agg(F.collect_list(candidate).alias("_candidates"))

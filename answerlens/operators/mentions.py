@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from answerlens.functions import text as tx
 from answerlens.lexicon import NEGATIVE_KEYWORDS, POSITIVE_KEYWORDS
 
-# Every brand costs a scan of every text. Above this many, ``operators.dictionary`` is the better way.
+# Every brand costs a scan of every text. Above this many, ``operators.dictionary`` is faster, with the same rows.
 LITERAL_BRANDS = 256
 
 
@@ -24,8 +24,6 @@ def with_hits(answers: DataFrame, brands: Sequence[str], text_col: str = "raw_te
     Each struct holds the stretch of text around the match, so nothing later needs the full text.
     """
     names = [name for name in brands if name]
-    if len(names) > LITERAL_BRANDS:
-        raise ValueError(f"more than {LITERAL_BRANDS} brands: use operators.dictionary")
     none = F.array().cast(HITS)
     if not names:
         return answers.withColumn("hits", none)

@@ -120,6 +120,16 @@ def refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_pipeline(rows, st.brand_table(spark, st.TEXT_BRANDS), store, "third", force=True)
 
 
+def rerun(spark: SparkSession, sf_dir: str, fails: bool) -> DataFrame:
+    """The only run of a store repeated, with a list that names nobody or with answers that all failed."""
+    store = stored(spark, sf_dir)
+    rows = st.landing(spark, sf_dir)
+    brands = st.brand_table(spark, st.TEXT_BRANDS if fails else ("Nobody at all",))
+    stats = run_pipeline(rows.withColumn("error", F.lit("quota")) if fails else rows, brands, store, "first")
+    counts = {n: getattr(store, n).agg(F.count("*")).scalar() for n in ("responses", "mentions", "citations")}
+    return stats.withColumns({f"{n}_stored": c for n, c in counts.items()})
+
+
 def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of pages' prompts deleted from a store, written as a new snapshot."""
     store, target = stored(spark, sf_dir), new_store(spark)
@@ -158,6 +168,8 @@ QUERIES = {
     "pipeline_mentions": stored_mentions,
     "pipeline_citations_skip_existing": stored_citations,
     "full_refresh": refreshed,
+    "rerun_without_mentions": lambda s, d: rerun(s, d, fails=False),
+    "rerun_all_failed": lambda s, d: rerun(s, d, fails=True),
     "delete_snapshot": snapshot,
     "dictionary_first_index": long_list,
 }
@@ -221,6 +233,13 @@ FROM mentions JOIN good ON response_id = landing_id""",
     "pipeline_citations_skip_existing": f"""WITH {GOOD_SQL}
 SELECT prompt_id, platform, source_url, source_domain FROM cites JOIN good ON response_id = landing_id""",
     "full_refresh": SUMMARY_SQL,
+    "rerun_without_mentions": f"""SELECT * REPLACE (CAST(0 AS BIGINT) AS total_mentions), processed AS responses_stored,
+       CAST(0 AS BIGINT) AS mentions_stored, total_citations AS citations_stored FROM ({SUMMARY_SQL})""",
+    "rerun_all_failed": f"""SELECT total_prompts, total_prompts AS api_errors, CAST(0 AS BIGINT) AS processed,
+       CAST(0 AS BIGINT) AS skipped, CAST(0 AS BIGINT) AS total_mentions, CAST(0 AS BIGINT) AS total_citations,
+       CAST(0 AS BIGINT) AS grounded_citations, CAST(0 AS BIGINT) AS fallback_citations,
+       CAST(0 AS BIGINT) AS responses_stored, CAST(0 AS BIGINT) AS mentions_stored,
+       CAST(0 AS BIGINT) AS citations_stored FROM ({SUMMARY_SQL})""",
     "delete_snapshot": f"""WITH {GOOD_SQL}
 SELECT prompt_id, platform, raw_text FROM good
 WHERE NOT EXISTS (SELECT 1 FROM landing l WHERE l.has_sources AND l.prompt_id = good.prompt_id

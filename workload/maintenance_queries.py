@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from answerlens.operators import dimensions as dims
 from answerlens.operators import facts as fx
 from answerlens.operators.ids import next_id, with_sequential_ids
 from answerlens.schemas import STAGES
+from answerlens.session import shared_folder
 from workload import standins as st
 
 # Part types stand for stages; the other types are no stage at all.
@@ -44,6 +47,19 @@ def completed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_responses(spark, sf_dir).filter("platform <> 'P'")
 
 
+def cleared(rows: DataFrame, name: str) -> DataFrame:
+    """Rows of a stored dimension before and after all of them are deleted."""
+    spark = rows.sparkSession
+    folder = f"{shared_folder(spark)}/dimension-{uuid4().hex}"
+    rows.write.parquet(f"{folder}/before")
+    stored = spark.read.schema(rows.schema).parquet(f"{folder}/before")
+    dims.delete_all(stored).write.parquet(f"{folder}/after")
+    left = spark.read.schema(rows.schema).parquet(f"{folder}/after").agg(F.count("*")).scalar()
+    return stored.agg(F.count("*").alias("rows_before")).select(
+        F.lit(name).alias("table_name"), "rows_before", left.alias("rows_after")
+    )
+
+
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names as prompt texts; names repeat a lot, in changing spelling."""
     text = F.when(F.col("p_size") > 30, F.upper("p_name")).otherwise(F.concat(F.lit("  "), "p_name", F.lit(" ")))
@@ -226,7 +242,8 @@ QUERIES = {
     "delete_prompts_not_found": lambda s, d: dims.delete_prompts(
         st.prompts(s, d), customers_below(s, d).withColumnRenamed("prompt_id", "id")
     ).rejected,
-    "delete_all_prompts": lambda s, d: dims.delete_all(named_prompts(s, d)),
+    "delete_all_prompts": lambda s, d: cleared(named_prompts(s, d), "prompts"),
+    "delete_all_brands": lambda s, d: cleared(brand_list(s, d), "brands"),
     "add_brands": lambda s, d: dims.add_brands(brand_list(s, d), brand_candidates(s, d)).result,
     "add_brands_rejected": lambda s, d: dims.add_brands(brand_list(s, d), brand_candidates(s, d)).rejected,
     "rename_brands": lambda s, d: dims.rename_brands(brand_list(s, d), renames(s, d)).result,
@@ -283,7 +300,9 @@ SELECT c_custkey AS id, c_name AS text, {st.sql_choose('c_mktsegment', st.SEGMEN
 FROM customer WHERE c_custkey NOT IN (SELECT prompt_id FROM below)""",
     "delete_prompts_not_found": f"""WITH {BELOW_SQL}
 SELECT prompt_id AS id, 'not_found' AS reason FROM below""",
-    "delete_all_prompts": """SELECT c_custkey AS id, c_name AS text, c_mktsegment AS stage FROM customer WHERE false""",
+    "delete_all_prompts": """SELECT 'prompts' AS table_name, count(*) AS rows_before, CAST(0 AS BIGINT) AS rows_after FROM customer""",
+    "delete_all_brands": f"""WITH {BRANDS_SQL}
+SELECT 'brands' AS table_name, count(*) AS rows_before, CAST(0 AS BIGINT) AS rows_after FROM brands""",
     "add_brands": f"""WITH {BRANDS_SQL}, {BRAND_CANDIDATES_SQL},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lower(trim(brand_name)) ORDER BY seq) AS rn FROM candidates
            WHERE trim(brand_name) <> '')
