@@ -17,7 +17,6 @@ QUERIES = {
     "op10_html_text": html_text.op10_html_text,
 }
 ORACLES = {
-    "op2_toxicity": toxicity.op2_toxicity,
     "op3_line_dedup": line_dedup.ORACLE,
     "op6_decontamination": decontamination.ORACLE,
 }
