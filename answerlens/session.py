@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +43,24 @@ def local_session(cores: str | int = "*", app: str = "answerlens", **settings: s
     return tune(spark)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package, where neither PYTHONPATH nor their working folder has it.
+
+    Spark hands the archive to every executor, once per application.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    context = spark.sparkContext
+    if root not in map(os.path.abspath, filter(None, known)) and context.applicationId not in _SHIPPED:
+        _SHIPPED.add(context.applicationId)
+        archive = os.path.join(tempfile.mkdtemp(prefix="answerlens-"), "answerlens")
+        context.addPyFile(shutil.make_archive(archive, "zip", root, "answerlens"))
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
