@@ -52,7 +52,7 @@ LICENSED = [
     (4, ""),
     (5, 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND'),
     (None, "GNU Lesser General Public License version 2.1 (LGPL). SPDX-License-Identifier: MIT, Copyright (c) 2020"),
-    (6, "İ reserved all rights reserved " * 200),
+    (6, "İ reserved all rights reserved " * 20),
     (6, "accby cc byé general public licenses"),
 ]
 
