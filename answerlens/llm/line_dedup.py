@@ -5,6 +5,12 @@ written as one long line is found as well. Every three consecutive units of a do
 are a window, known by its hash. The first occurrence of a window, by document id, stays; the units that later
 occurrences cover are merged into ranges and removed.
 
+That is the rule of ``op3_line_dedup``, which its SQL states. It misses a passage of over ``LONG_LINE`` words that has fewer
+than three units of its own. The stage of the pipeline therefore works on ``pieces``: lines are cut at every sentence end,
+and sentences after the word of the smallest hash of every ``CUT`` words in a row. These places depend on the nearest words
+only, and no piece has more than ``CUT`` words. Of a passage, the first and last ``CUT - 1`` words may be cut otherwise than
+elsewhere, and what lies between them holds at least three whole pieces if the passage has over ``LONG_LINE`` words.
+
 Windows are counted by one 64-bit hash, combined before the shuffle. Only windows whose hash occurs again go on, with a
 second hash, and are written once. The frequent side of every join is split when skewed, for the other side has a row per
 key. A document's own ranges are the only thing gathered, so the largest group is one document.
@@ -20,6 +26,10 @@ from answerlens.llm.common import documents, settled
 LONG_LINE = 50
 MIN_WORDS = 8
 SPAN = 3
+CUT = 8
+# What is sure to be found of a passage of over LONG_LINE words, wherever it begins and ends.
+SURE_WORDS = LONG_LINE + 1 - 2 * (2 * CUT - 1)
+_PLACE = (1 << 24) - 1
 
 
 def lines(text: str = "text") -> Column:
@@ -30,14 +40,58 @@ def lines(text: str = "text") -> Column:
     )
 
 
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _cut(sentence: Column) -> Column:
+    """A sentence in parts of at most ``CUT`` words, blanks included, cut after the smallest hash (the last of equal ones) of every ``CUT`` words."""
+
+    def parts(tokens):
+        hashes = F.transform(tokens, lambda t, i: F.xxhash64(F.rtrim(t, F.lit(" \t\r"))).bitwiseAND(F.lit(~_PLACE)).bitwiseOR((F.lit(_PLACE) - i).cast("long")))
+        least = _let(hashes, lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - CUT), lambda j: F.array_min(F.slice(h, j + 1, CUT))))
+        ends = F.transform(least, lambda x: (F.lit(_PLACE + 1) - x.bitwiseAND(F.lit(_PLACE))).cast("int"))
+        bounds = F.array_distinct(F.concat(F.array(F.lit(0)), ends, F.array(F.size(tokens))))
+        return _let(
+            bounds,
+            lambda b: F.transform(F.slice(b, 2, F.size(b) - 1), lambda end, q: F.array_join(F.slice(tokens, F.get(b, q) + 1, end - F.get(b, q)), "")),
+        )
+
+    tokens = F.split(sentence, r"(?<=[ \t\r])(?=[^ \t\r])")
+    return _let(tokens, lambda t: F.when(F.size(t) < CUT, F.array(sentence)).otherwise(parts(t)))
+
+
+def pieces(text: str = "text") -> Column:
+    """Pieces of every line: (line, unit, first, last), the latter two for where a unit of ``lines`` begins and ends."""
+
+    def of_unit(unit, i):
+        parts = F.flatten(F.transform(F.split(unit, r"(?<=[.!?][ \t\r])"), _cut))
+        return _let(
+            parts,
+            lambda p: F.transform(p, lambda x, k: F.struct(i.alias("line"), x.alias("unit"), (k == 0).alias("first"), (k == F.size(p) - 1).alias("last"))),
+        )
+
+    def of_line(line, i):
+        units = F.when(F.size(F.split(line, " ")) > LONG_LINE, F.split(line, "(?<=[.!?] )")).otherwise(F.array(line))
+        return F.flatten(F.transform(units, lambda unit: of_unit(unit, i)))
+
+    return F.flatten(F.transform(F.split(F.col(text), "\n"), of_line))
+
+
+def _n_words(unit: Column) -> Column:
+    return F.regexp_count(unit, F.lit(r"[^ \t\r\n]+"))
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col).cast("long").alias("doc"), text.alias("text"), F.xxhash64(text).alias("own"))
 
 
-def windows(keyed: DataFrame, *hashes: str) -> DataFrame:
-    """(doc, own, at, hashes) of every window with enough words."""
-    counted = F.transform(F.flatten(lines()), lambda u: F.struct(u.alias("unit"), F.regexp_count(u, F.lit(r"[^ \t\r\n]+")).alias("words")))
+def windows(keyed: DataFrame, *hashes: str, fine: bool = False) -> DataFrame:
+    """(doc, own, at, hashes) of every window with enough words; ``fine``: of pieces."""
+    units = F.transform(pieces(), lambda p: F.rtrim(p["unit"], F.lit(" \t\r"))) if fine else F.flatten(lines())
+    counted = F.transform(units, lambda u: F.struct(u.alias("unit"), _n_words(u).alias("words")))
     units = keyed.select("doc", "own", counted.alias("units"))
 
     def window(i: Column) -> Column:
@@ -53,36 +107,54 @@ def windows(keyed: DataFrame, *hashes: str) -> DataFrame:
     return rows.select("doc", "own", F.col("w.at").alias("at"), *(F.col(f"w.{h}").alias(h) for h in hashes))
 
 
-def later_occurrences(keyed: DataFrame) -> DataFrame:
+def later_occurrences(keyed: DataFrame, fine: bool = False) -> DataFrame:
     """Per document (doc, own) the sorted starts of windows that have occurred before."""
-    again = windows(keyed, "hash").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    found = settled(windows(keyed, "hash", "check").join(again, "hash"), "repeated-windows")
+    again = windows(keyed, "hash", fine=fine).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    found = settled(windows(keyed, "hash", "check", fine=fine).join(again, "hash"), "repeated-windows")
     place = F.struct("doc", "own", "at")
     first = found.groupBy("hash", "check").agg(F.min(place).alias("first"))
     later = found.join(first, ["hash", "check"]).where(~place.eqNullSafe(F.col("first")))
     return later.groupBy("doc", "own").agg(F.array_sort(F.collect_set("at")).alias("starts"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _large_enough(r: Column) -> Column:
+    """Whether a range of pieces is removed."""
+
+    def enough(units):
+        words = F.aggregate(units, F.lit(0), lambda n, u: n + _n_words(u["unit"]))
+        ends = F.size(F.filter(units, lambda u: u["last"]))
+        whole = ends - F.when(F.get(units, F.lit(0))["first"], 0).otherwise(1)
+        return _let(words, lambda n: (n >= SURE_WORDS) | ((n >= MIN_WORDS) & (whole >= SPAN)))
+
+    return _let(F.slice("_units", r["_begins"] + 1, r["_ends"] - r["_begins"]), enough)
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fine: bool = False) -> DataFrame:
     """All rows and columns of ``docs``, with ``_n_lines``, ``_n_removed`` (units) and ``_kept`` (the text that stays).
 
     A document of fewer than three units is kept whole. A null text counts as empty. Rows of one id and text are one
     document and get one result. Rows without an id come before all others. Lines that stay are joined as they were; a
     line that loses all its units goes with its line end.
+
+    ``fine``: units are pieces, and what repeats is removed if it has ``SURE_WORDS`` words, or three whole units of
+    ``lines`` with ``MIN_WORDS`` words.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    later = later_occurrences(_keyed(docs, id_col, text_col)).select(
+    later = later_occurrences(_keyed(docs, id_col, text_col), fine).select(
         F.col("doc").alias("_later_doc"), F.col("own").alias("_later_own"), F.col("starts").alias("_starts")
     )
     same = F.col("_doc").eqNullSafe(F.col("_later_doc")) & (F.col("_own") == F.col("_later_own"))
     rows = docs.withColumns({"_doc": F.col(id_col).cast("long"), "_own": F.xxhash64(text), "_text": text})
     joined = rows.join(later, same, "left")
-    numbered = F.flatten(F.transform(lines("_text"), lambda units, i: F.transform(units, lambda u: F.struct(i.alias("line"), u.alias("unit")))))
+    numbered = pieces("_text") if fine else F.flatten(F.transform(lines("_text"), lambda units, i: F.transform(units, lambda u: F.struct(i.alias("line"), u.alias("unit")))))
     joined = joined.withColumn("_units", F.when(F.col("_starts").isNotNull(), numbered))
     # Ranges of covered units, where windows that touch are one range; then the ranges between them.
     begins = F.filter("_starts", lambda x, i: (i == 0) | (x > F.get("_starts", i - 1) + SPAN))
     ends = F.filter("_starts", lambda x, i: (i == F.size("_starts") - 1) | (F.get("_starts", i + 1) > x + SPAN))
     joined = joined.withColumns({"_begins": begins, "_ends": F.transform(ends, lambda x: x + SPAN)})
+    if fine:
+        joined = joined.withColumn("_ranges", F.filter(F.arrays_zip("_begins", "_ends"), _large_enough))
+        joined = joined.withColumns({"_begins": F.transform("_ranges", lambda r: r["_begins"]), "_ends": F.transform("_ranges", lambda r: r["_ends"])})
     gaps = F.arrays_zip(
         F.concat(F.array(F.lit(0)), F.col("_ends")).alias("from"), F.concat(F.col("_begins"), F.array(F.size("_units"))).alias("to")
     )
@@ -92,10 +164,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     parts = F.transform(
         "_kept_units",
         lambda x, i: F.concat(
-            F.when(i == 0, "").when(F.get("_kept_units", i - 1)["line"] == x["line"], " ").otherwise("\n"), x["unit"]
+            F.when(i == 0, "").when(F.get("_kept_units", i - 1)["line"] == x["line"], "" if fine else " ").otherwise("\n"), x["unit"]
         ),
     )
-    n = F.when(F.col("_starts").isNull(), F.size(F.flatten(lines("_text")))).otherwise(F.size("_units"))
+    n = F.when(F.col("_starts").isNull(), F.size(pieces("_text") if fine else F.flatten(lines("_text")))).otherwise(F.size("_units"))
     return joined.select(
         *(F.col(f"`{c}`") for c in docs.columns),
         n.cast("long").alias("_n_lines"),
@@ -105,11 +177,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, with the text that stays (``n_chars``, where there is one, counted anew).
+    """The rows of ``docs``, all columns, without repeated passages, found by pieces (``n_chars``, where there is one, counted anew).
 
     Untouched rows are as they were, a null text too. A document whose units all go has nothing of its own and goes.
     """
-    found = dedup_lines(docs, id_col, text_col).where((F.col("_n_removed") == 0) | (F.col("_n_removed") < F.col("_n_lines")))
+    found = dedup_lines(docs, id_col, text_col, fine=True).where((F.col("_n_removed") == 0) | (F.col("_n_removed") < F.col("_n_lines")))
     cut = F.col("_n_removed") > 0
     new = {text_col: F.when(cut, F.col("_kept")).otherwise(F.col(text_col))}
     if "n_chars" in docs.columns:

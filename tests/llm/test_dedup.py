@@ -110,6 +110,43 @@ def test_windows_that_overlap_themselves(spark):
     assert row["_kept"] == f"{line}\nanother line of some words"
 
 
+def test_long_passages_of_few_units_are_removed(spark):
+    def prose(seed, n):
+        rng = random.Random(seed)
+        return " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(n))
+
+    passages = {
+        "one sentence": prose(1, 60),
+        "two sentences": f"{prose(2, 30)}. {prose(3, 30)}.",
+        "two lines": f"{prose(4, 30)}\n{prose(5, 30)}",
+        "tabs": prose(6, 60).replace(" ", "\t"),
+    }
+    for name, passage in passages.items():
+        around = [(i, f"{prose(100 + i, 9)}.\n", f"\n{prose(200 + i, 9)}.") for i in range(4)]
+        # And within a line: its ends may stay, but not what lies more than two cuts inside.
+        around += [(i, f"{prose(300 + i, 20)} ", f" {prose(400 + i, 20)}") for i in range(4, 8)]
+        docs = spark.createDataFrame([(i, a + passage + b) for i, a, b in around], "doc_id long, text string")
+        got = {r["doc_id"]: r["text"] for r in line_dedup.without_repeated_lines(docs).collect()}
+        assert got[0] == around[0][1] + passage + around[0][2], name
+        for i, a, b in around[1:]:
+            if i < 4:
+                assert got[i] == a + b.strip("\n"), name
+            else:
+                words = passage.split()
+                assert got[i].startswith(a) and got[i].endswith(b.strip()), name
+                assert not set(words[14:-14]) & set(got[i].split()) - set(words[:14] + words[-14:] + a.split() + b.split()), name
+
+
+def test_pieces_hold_the_whole_text_and_few_words(spark, odd):
+    docs = odd.where("text is not null").select("text", line_dedup.pieces().alias("p")).collect()
+    for r in docs:
+        lines = {}
+        for p in r["p"]:
+            lines.setdefault(p["line"], []).append(p["unit"])
+            assert len(p["unit"].split()) <= line_dedup.CUT
+        assert "\n".join("".join(x) for x in lines.values()) == r["text"]
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
