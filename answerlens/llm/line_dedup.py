@@ -89,9 +89,10 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def windows(keyed: DataFrame, *hashes: str, fine: bool = False) -> DataFrame:
-    """(doc, own, at, hashes) of every window with enough words; ``fine``: of pieces."""
+    """(doc, own, at, hashes) of every window with enough words; ``fine``: of every window of pieces, as ranges are judged when merged."""
     units = F.transform(pieces(), lambda p: F.rtrim(p["unit"], F.lit(" \t\r"))) if fine else F.flatten(lines())
-    counted = F.transform(units, lambda u: F.struct(u.alias("unit"), _n_words(u).alias("words")))
+    least = 0 if fine else MIN_WORDS
+    counted = F.transform(units, lambda u: F.struct(u.alias("unit"), (_n_words(u) if least else F.lit(0)).alias("words")))
     units = keyed.select("doc", "own", counted.alias("units"))
 
     def window(i: Column) -> Column:
@@ -103,7 +104,7 @@ def windows(keyed: DataFrame, *hashes: str, fine: bool = False) -> DataFrame:
     # Hashed within the row: the texts of windows, thrice those of the documents, are never rows.
     starts = F.when(F.size("units") >= SPAN, F.sequence(F.lit(0), F.size("units") - SPAN))
     # The outer form, because to the plain one the optimizer adds a filter that makes all windows a second time.
-    rows = units.select("doc", "own", F.explode_outer(F.transform(starts, window)).alias("w")).where(F.col("w.words") >= MIN_WORDS)
+    rows = units.select("doc", "own", F.explode_outer(F.transform(starts, window)).alias("w")).where(F.col("w.words") >= least)
     return rows.select("doc", "own", F.col("w.at").alias("at"), *(F.col(f"w.{h}").alias(h) for h in hashes))
 
 

@@ -137,6 +137,18 @@ def test_long_passages_of_few_units_are_removed(spark):
                 assert not set(words[14:-14]) & set(got[i].split()) - set(words[:14] + words[-14:] + a.split() + b.split()), name
 
 
+def test_long_passages_of_short_units_are_removed(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("ABCDEFGHIJ", k=5)) for _ in range(150)]
+    for passage in (" ".join(f"{w}!!" for w in words), "\n".join(words[:60]), "\n".join(f"{a} {b}" for a, b in zip(words[:40:2], words[1:40:2], strict=True))):
+        docs = spark.createDataFrame([(i, f"own line {i} at the top\n{passage}\nown line {i} below") for i in range(3)], "doc_id long, text string")
+        got = {r["doc_id"]: r["text"] for r in line_dedup.without_repeated_lines(docs).collect()}
+        assert got == {0: f"own line 0 at the top\n{passage}\nown line 0 below", **{i: f"own line {i} at the top\nown line {i} below" for i in (1, 2)}}
+    # Three short lines with fewer than eight words in all stay.
+    docs = spark.createDataFrame([(i, f"own line {i} at the top\nyes\nno\nyes then\nown line {i} below") for i in range(3)], "doc_id long, text string")
+    assert {(r["doc_id"], r["text"]) for r in line_dedup.without_repeated_lines(docs).collect()} == {(r["doc_id"], r["text"]) for r in docs.collect()}
+
+
 def test_pieces_hold_the_whole_text_and_few_words(spark, odd):
     docs = odd.where("text is not null").select("text", line_dedup.pieces().alias("p")).collect()
     for r in docs:
