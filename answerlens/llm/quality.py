@@ -80,12 +80,22 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def failed_steps(measured: DataFrame) -> DataFrame:
-    """Adds ``steps``: for each rule, in order, the first step of its grid that the document fails (null: none)."""
+    """Adds ``steps``: for each rule, in order, the first step of its grid that the document fails (null: none).
+
+    Cutoffs fall evenly, so the step comes from a division; its neighbours are tested, for the division rounds.
+    """
+    names = [f"_measure_{rule}" for rule in RULES]
+    valued = measured.withColumns({name: F.expr(f"coalesce({measure}, 0D)") for name, (measure, _) in zip(names, RULES.values(), strict=True)})
     arrays = []
-    for measure, cutoff in RULES.values():
-        steps = F.expr(f"filter(sequence(1, {STEPS}), step -> coalesce({measure}, 0D) > {cutoff})")
-        arrays.append(F.get(steps, F.lit(0)))
-    return measured.withColumn("steps", F.array(*arrays))
+    for name, (_, cutoff) in zip(names, RULES.values(), strict=True):
+        at_0, at_1 = (cutoff.replace("step", step) for step in ("0", "1"))
+        guess = f"cast(least(greatest(floor(({at_0} - {name}) / (({at_0}) - ({at_1}))), -1), {STEPS}) as int)"
+        tested = []
+        for more in (0, 1, 2):
+            step = f"({guess} + {more})"
+            tested.append(f"CASE WHEN {step} BETWEEN 1 AND {STEPS} AND {name} > {cutoff.replace('step', step)} THEN {step} END")
+        arrays.append(F.expr(f"coalesce({', '.join(tested)})"))
+    return valued.withColumn("steps", F.array(*arrays)).drop(*names)
 
 
 def binomial_tail(failed: Column, n: Column, share: Column) -> Column:
@@ -105,9 +115,9 @@ def binomial_tail(failed: Column, n: Column, share: Column) -> Column:
 def thresholds(measured: DataFrame, labels: DataFrame, most_rejected: float = MOST_REJECTED, error: float = ERROR) -> DataFrame:
     """Per stratum with labels: ``accepted``, for each rule in order the strictest accepted step (null: the rule is off)."""
     good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    held = failed_steps(measured.join(good, "doc_id"))
+    held = settled(failed_steps(measured.join(good, "doc_id")).select("stratum", "steps"), "quality-steps")
     strata = settled(held.groupBy("stratum").agg(F.count("*").alias("n")), "quality-strata")
-    counts = held.select("stratum", F.posexplode("steps").alias("rule", "step")).groupBy("stratum", "rule", "step").agg(F.count("*").alias("failed"))
+    counts = held.select("stratum", F.posexplode_outer("steps").alias("rule", "step")).groupBy("stratum", "rule", "step").agg(F.count("*").alias("failed"))
     # A small table: strata x rules x steps. A document that fails a step fails all stricter ones.
     rules = F.explode(F.sequence(F.lit(0), F.lit(len(RULES) - 1))).alias("rule")
     cells = strata.select("stratum", "n", rules).select("stratum", "n", "rule", F.explode(F.sequence(F.lit(1), F.lit(STEPS))).alias("step"))
