@@ -11,9 +11,10 @@ and sentences after the word of the smallest hash of every ``CUT`` words in a ro
 only, and no piece has more than ``CUT`` words. Of a passage, the first and last ``CUT - 1`` words may be cut otherwise than
 elsewhere, and what lies between them holds at least three whole pieces if the passage has over ``LONG_LINE`` words.
 
-Windows are counted by one 64-bit hash, combined before the shuffle. Only windows whose hash occurs again go on, with a
-second hash, and are written once. The frequent side of every join is split when skewed, for the other side has a row per
-key. A document's own ranges are the only thing gathered, so the largest group is one document.
+Texts are cut once: two hashes a window are written, 16 bytes for some 25 of text. Windows are counted by the first,
+combined before the shuffle. Only windows whose hash occurs again go on; a skewed partition of these is split, for the
+other side has a row per key. First occurrences are a minimum, combined before the shuffle, and found again by their place.
+A document's own ranges are the only thing gathered, so the largest group is one document.
 """
 
 from __future__ import annotations
@@ -50,13 +51,14 @@ def _cut(sentence: Column) -> Column:
 
     def parts(tokens):
         hashes = F.transform(tokens, lambda t, i: F.xxhash64(F.rtrim(t, F.lit(" \t\r"))).bitwiseAND(F.lit(~_PLACE)).bitwiseOR((F.lit(_PLACE) - i).cast("long")))
-        least = _let(hashes, lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - CUT), lambda j: F.array_min(F.slice(h, j + 1, CUT))))
+        # No slices here: each would copy the whole array, and a sentence may have any length.
+        least = _let(hashes, lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - CUT), lambda j: F.least(*(F.get(h, j + k) for k in range(CUT)))))
         ends = F.transform(least, lambda x: (F.lit(_PLACE + 1) - x.bitwiseAND(F.lit(_PLACE))).cast("int"))
         bounds = F.array_distinct(F.concat(F.array(F.lit(0)), ends, F.array(F.size(tokens))))
-        return _let(
-            bounds,
-            lambda b: F.transform(F.slice(b, 2, F.size(b) - 1), lambda end, q: F.array_join(F.slice(tokens, F.get(b, q) + 1, end - F.get(b, q)), "")),
-        )
+        return _let(bounds, lambda b: F.transform(F.sequence(F.lit(1), F.size(b) - 1), lambda q: part(tokens, F.get(b, q - 1), F.get(b, q))))
+
+    def part(tokens, start, end):
+        return F.concat_ws("", *(F.when(start + k < end, F.get(tokens, start + k)) for k in range(CUT)))
 
     tokens = F.split(sentence, r"(?<=[ \t\r])(?=[^ \t\r])")
     return _let(tokens, lambda t: F.when(F.size(t) < CUT, F.array(sentence)).otherwise(parts(t)))
@@ -88,46 +90,112 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc"), text.alias("text"), F.xxhash64(text).alias("own"))
 
 
-def windows(keyed: DataFrame, *hashes: str, fine: bool = False) -> DataFrame:
-    """(doc, own, at, hashes) of every window with enough words; ``fine``: of every window of pieces, as ranges are judged when merged."""
-    units = F.transform(pieces(), lambda p: F.rtrim(p["unit"], F.lit(" \t\r"))) if fine else F.flatten(lines())
-    least = 0 if fine else MIN_WORDS
-    counted = F.transform(units, lambda u: F.struct(u.alias("unit"), (_n_words(u) if least else F.lit(0)).alias("words")))
-    units = keyed.select("doc", "own", counted.alias("units"))
+def window_hashes(keyed: DataFrame, fine: bool = False) -> DataFrame:
+    """(doc, own, hashes): per document the (hash, check) of the windows in order, null for one with too few words.
 
-    def window(i: Column) -> Column:
-        parts = [F.get("units", i + k) for k in range(SPAN)]
-        texts = [part["unit"] for part in parts]
-        seeds = {"hash": F.xxhash64(*texts), "check": F.xxhash64(F.lit(1), *texts)}
-        return F.struct(i.alias("at"), sum((p["words"] for p in parts[1:]), parts[0]["words"]).alias("words"), *(seeds[h].alias(h) for h in hashes))
+    ``fine``: windows of pieces, none of which is null, as ranges are judged when merged.
+    """
+    texts = F.transform(pieces(), lambda p: F.rtrim(p["unit"], F.lit(" \t\r"))) if fine else F.flatten(lines())
+
+    def hashed(units: Column) -> Column:
+        def window(i: Column) -> Column:
+            parts = [F.get(units, i + k) for k in range(SPAN)]
+            both = F.struct(F.xxhash64(*parts).alias("hash"), F.xxhash64(F.lit(1), *parts).alias("check"))
+            return both if fine else F.when(sum((_n_words(p) for p in parts[1:]), _n_words(parts[0])) >= MIN_WORDS, both)
+
+        return F.when(F.size(units) >= SPAN, F.transform(F.sequence(F.lit(0), F.size(units) - SPAN), window))
 
     # Hashed within the row: the texts of windows, thrice those of the documents, are never rows.
-    starts = F.when(F.size("units") >= SPAN, F.sequence(F.lit(0), F.size("units") - SPAN))
-    # The outer form, because to the plain one the optimizer adds a filter that makes all windows a second time.
-    rows = units.select("doc", "own", F.explode_outer(F.transform(starts, window)).alias("w")).where(F.col("w.words") >= least)
-    return rows.select("doc", "own", F.col("w.at").alias("at"), *(F.col(f"w.{h}").alias(h) for h in hashes))
+    return keyed.select("doc", "own", _let(texts, hashed).alias("hashes"))
 
 
 def later_occurrences(keyed: DataFrame, fine: bool = False) -> DataFrame:
     """Per document (doc, own) the sorted starts of windows that have occurred before."""
-    again = windows(keyed, "hash", fine=fine).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    found = settled(windows(keyed, "hash", "check", fine=fine).join(again, "hash"), "repeated-windows")
-    place = F.struct("doc", "own", "at")
-    first = found.groupBy("hash", "check").agg(F.min(place).alias("first"))
-    later = found.join(first, ["hash", "check"]).where(~place.eqNullSafe(F.col("first")))
+    hashed = settled(window_hashes(keyed, fine), "windows")
+    hashes = hashed.select(F.explode("hashes").alias("w")).where("w IS NOT NULL")
+    again = hashes.groupBy("w.hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    placed = hashed.select("doc", "own", F.posexplode("hashes").alias("at", "w")).where("w IS NOT NULL").select("doc", "own", "at", "w.*")
+    found = settled(placed.join(again, "hash"), "repeated-windows")
+    first = found.groupBy("hash", "check").agg(F.min(F.struct("doc", "own", "at")).alias("first")).select("first.*")
+    # What is not first is later. Compared by place, so that a very frequent window does not meet itself in one task.
+    same = [F.col(f"f.{c}").eqNullSafe(F.col(f"w.{c}")) for c in ("doc", "own", "at")]
+    later = found.alias("w").join(first.alias("f"), same, "left_anti")
     return later.groupBy("doc", "own").agg(F.array_sort(F.collect_set("at")).alias("starts"))
 
 
-def _large_enough(r: Column) -> Column:
+def _large_enough(units: Column) -> Column:
     """Whether a range of pieces is removed."""
+    words = F.aggregate(units, F.lit(0), lambda n, u: n + _n_words(u["unit"]))
+    ends = F.size(F.filter(units, lambda u: u["last"]))
+    whole = ends - F.when(F.get(units, F.lit(0))["first"], 0).otherwise(1)
+    return _let(words, lambda n: (n >= SURE_WORDS) | ((n >= MIN_WORDS) & (whole >= SPAN)))
+
 
-    def enough(units):
-        words = F.aggregate(units, F.lit(0), lambda n, u: n + _n_words(u["unit"]))
-        ends = F.size(F.filter(units, lambda u: u["last"]))
-        whole = ends - F.when(F.get(units, F.lit(0))["first"], 0).otherwise(1)
-        return _let(words, lambda n: (n >= SURE_WORDS) | ((n >= MIN_WORDS) & (whole >= SPAN)))
+def _ranges(starts: Column) -> Column:
+    """Ranges (from, to) of covered units, where windows that touch are one range."""
+    begins = F.filter(starts, lambda x, i: (i == 0) | (x > F.get(starts, i - 1) + SPAN))
+    ends = F.filter(starts, lambda x, i: (i == F.size(starts) - 1) | (F.get(starts, i + 1) > x + SPAN))
+    return F.arrays_zip(begins.alias("from"), F.transform(ends, lambda x: x + SPAN).alias("to"))
 
-    return _let(F.slice("_units", r["_begins"] + 1, r["_ends"] - r["_begins"]), enough)
+
+def _part(units: Column, r: Column) -> Column:
+    """The units of a range, one by one, as a slice would copy the whole array first."""
+    places = F.when(r["from"] < r["to"], F.sequence(r["from"], r["to"] - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.get(units, i))
+
+
+def _cleaned(units: Column, starts: Column, fine: bool) -> Column:
+    """(n_lines, n_removed, kept) of units (line, unit, ...) and the starts of windows to remove.
+
+    Every step is bound by ``_let``, so each is worked out once a document.
+    """
+
+    def joined(kept):
+        parts = F.transform(
+            kept,
+            lambda x, i: F.concat(
+                F.when(i == 0, "").when(F.get(kept, i - 1)["line"] == x["line"], "" if fine else " ").otherwise("\n"), x["unit"]
+            ),
+        )
+        return F.array_join(parts, "")
+
+    def result(u, ranges):
+        gaps = F.arrays_zip(
+            F.concat(F.array(F.lit(0)), F.transform(ranges, lambda r: r["to"])).alias("from"),
+            F.concat(F.transform(ranges, lambda r: r["from"]), F.array(F.size(u))).alias("to"),
+        )
+        kept = F.flatten(F.transform(gaps, lambda g: _part(u, g)))
+        return _let(
+            kept,
+            lambda k: F.struct(
+                F.size(u).cast("long").alias("n_lines"), (F.size(u) - F.size(k)).cast("long").alias("n_removed"), joined(k).alias("kept")
+            ),
+        )
+
+    def cleaned(u):
+        ranges = _ranges(starts)
+        if fine:
+            ranges = F.filter(ranges, lambda r: _let(_part(u, r), _large_enough))
+        return _let(ranges, lambda r: result(u, r))
+
+    return _let(units, cleaned)
+
+
+def _with_results(docs: DataFrame, id_col: str, text_col: str, fine: bool, count_all: bool) -> DataFrame:
+    """(row, r): each row of ``docs`` as a struct, and (n_lines, n_removed, kept), null for an untouched row unless ``count_all``."""
+    later = later_occurrences(_keyed(docs, id_col, text_col), fine)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(row, F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("own"), text.alias("text"))
+    same = rows["doc"].eqNullSafe(later["doc"]) & (rows["own"] == later["own"])
+    joined = rows.join(later, same, "left").select("row", "text", "starts")
+    units = pieces() if fine else F.flatten(F.transform(lines(), lambda of_line, i: F.transform(of_line, lambda u: F.struct(i.alias("line"), u.alias("unit")))))
+    none = F.lit(None)
+    if count_all:
+        none = F.struct(F.size(units).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.col("text").alias("kept"))
+    found = F.when(F.col("starts").isNotNull(), _cleaned(units, F.col("starts"), fine)).otherwise(none)
+    # Made by a generator, as the optimizer copies any other column into every filter and projection above it.
+    return joined.select("row", F.explode_outer(F.array(found)).alias("r"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fine: bool = False) -> DataFrame:
@@ -135,59 +203,32 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A document of fewer than three units is kept whole. A null text counts as empty. Rows of one id and text are one
     document and get one result. Rows without an id come before all others. Lines that stay are joined as they were; a
-    line that loses all its units goes with its line end.
+    line that loses all its units goes with its line end. Columns of any other name stay as they are.
 
     ``fine``: units are pieces, and what repeats is removed if it has ``SURE_WORDS`` words, or three whole units of
     ``lines`` with ``MIN_WORDS`` words.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    later = later_occurrences(_keyed(docs, id_col, text_col), fine).select(
-        F.col("doc").alias("_later_doc"), F.col("own").alias("_later_own"), F.col("starts").alias("_starts")
-    )
-    same = F.col("_doc").eqNullSafe(F.col("_later_doc")) & (F.col("_own") == F.col("_later_own"))
-    rows = docs.withColumns({"_doc": F.col(id_col).cast("long"), "_own": F.xxhash64(text), "_text": text})
-    joined = rows.join(later, same, "left")
-    numbered = pieces("_text") if fine else F.flatten(F.transform(lines("_text"), lambda units, i: F.transform(units, lambda u: F.struct(i.alias("line"), u.alias("unit")))))
-    joined = joined.withColumn("_units", F.when(F.col("_starts").isNotNull(), numbered))
-    # Ranges of covered units, where windows that touch are one range; then the ranges between them.
-    begins = F.filter("_starts", lambda x, i: (i == 0) | (x > F.get("_starts", i - 1) + SPAN))
-    ends = F.filter("_starts", lambda x, i: (i == F.size("_starts") - 1) | (F.get("_starts", i + 1) > x + SPAN))
-    joined = joined.withColumns({"_begins": begins, "_ends": F.transform(ends, lambda x: x + SPAN)})
-    if fine:
-        joined = joined.withColumn("_ranges", F.filter(F.arrays_zip("_begins", "_ends"), _large_enough))
-        joined = joined.withColumns({"_begins": F.transform("_ranges", lambda r: r["_begins"]), "_ends": F.transform("_ranges", lambda r: r["_ends"])})
-    gaps = F.arrays_zip(
-        F.concat(F.array(F.lit(0)), F.col("_ends")).alias("from"), F.concat(F.col("_begins"), F.array(F.size("_units"))).alias("to")
-    )
-    joined = joined.withColumn("_gaps", gaps)
-    kept = F.flatten(F.transform("_gaps", lambda g: F.slice("_units", g["from"] + 1, g["to"] - g["from"])))
-    joined = joined.withColumn("_kept_units", kept)
-    parts = F.transform(
-        "_kept_units",
-        lambda x, i: F.concat(
-            F.when(i == 0, "").when(F.get("_kept_units", i - 1)["line"] == x["line"], "" if fine else " ").otherwise("\n"), x["unit"]
-        ),
-    )
-    n = F.when(F.col("_starts").isNull(), F.size(pieces("_text") if fine else F.flatten(lines("_text")))).otherwise(F.size("_units"))
-    return joined.select(
-        *(F.col(f"`{c}`") for c in docs.columns),
-        n.cast("long").alias("_n_lines"),
-        F.when(F.col("_starts").isNull(), 0).otherwise(F.size("_units") - F.size("_kept_units")).cast("long").alias("_n_removed"),
-        F.when(F.col("_starts").isNull(), F.col("_text")).otherwise(F.array_join(parts, "")).alias("_kept"),
+    found = _with_results(docs, id_col, text_col, fine, count_all=True)
+    return found.select(
+        *(F.col("row")[c].alias(c) for c in docs.columns),
+        F.col("r.n_lines").alias("_n_lines"), F.col("r.n_removed").alias("_n_removed"), F.col("r.kept").alias("_kept"),
     )
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, without repeated passages, found by pieces (``n_chars``, where there is one, counted anew).
 
-    Untouched rows are as they were, a null text too. A document whose units all go has nothing of its own and goes.
+    Untouched rows are as they were, a null text too. A document whose units all go has nothing of its own and goes. An
+    empty table gives no row.
     """
-    found = dedup_lines(docs, id_col, text_col, fine=True).where((F.col("_n_removed") == 0) | (F.col("_n_removed") < F.col("_n_lines")))
-    cut = F.col("_n_removed") > 0
-    new = {text_col: F.when(cut, F.col("_kept")).otherwise(F.col(text_col))}
+    found = _with_results(docs, id_col, text_col, fine=True, count_all=False)
+    cut = F.coalesce(F.col("r.n_removed") > 0, F.lit(False))
+    left = found.where(~cut | (F.col("r.n_removed") < F.col("r.n_lines")))
+    old = {c: F.col("row")[c] for c in docs.columns}
+    new = {text_col: F.when(cut, F.col("r.kept")).otherwise(old[text_col])}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(cut, F.length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
+        new["n_chars"] = F.when(cut, F.length("r.kept").cast(docs.schema["n_chars"].dataType)).otherwise(old["n_chars"])
+    return left.select(*(new.get(c, old[c]).alias(c) for c in docs.columns))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
