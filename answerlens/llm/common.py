@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
 def tuned(spark: SparkSession) -> SparkSession:
     """Bound the rows an Arrow batch holds, so that a batch of long texts still fits a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
@@ -39,3 +43,22 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
+
+
+def task_sums(rows: DataFrame, partial: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray | None:
+    """The sum over all rows of the array ``partial(batch)``, flat; None without rows.
+
+    Every task gives one array, whose entries Spark adds up, so what reaches the driver has the size of one array.
+    """
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                own = np.asarray(partial(batch), float).ravel()
+                total = own if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["at", "value"])
+
+    sums = rows.mapInArrow(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()
+    return sums.sort_values("at")["value"].to_numpy() if len(sums) else None

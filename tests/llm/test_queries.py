@@ -18,7 +18,7 @@ def test_registered():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {f"{x.split('_')[0]}_" for x in catalog.QUERIES}
+    assert {f"op{n}_" for n in range(1, 14)} == {f"{x.split('_')[0]}_" for x in catalog.QUERIES}
     assert set(catalog.QUERIES) | {"pipeline"} <= set(names)
 
 
