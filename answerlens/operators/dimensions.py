@@ -1,9 +1,10 @@
 """Batch maintenance of the prompt and brand dimensions.
 
-Every batch row carries a unique ``seq``; where rows compete, the lowest one wins. Rules:
+Every batch row carries a unique ``seq``. The outcome is that of applying the rows one after the other:
 
-* A batch is checked against the dimension as it was before the batch and against earlier rows of the
-  batch, so no outcome depends on whether another row is accepted.
+* Of rows that add the same text or name, the first one counts.
+* Updates and renames see the dimension as the rows before them have left it (``operators.claims``), so a prompt
+  may be updated many times, and a text or name that a row frees may be taken by a later one.
 * Winners are found by aggregates that combine before the shuffle and fetched back by ``seq`` or id, so
   any number of equal texts or names in a batch lands in no single task.
 * Facts are never touched: renaming or deleting a dimension row does not rewrite history.
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerlens.functions.text import blank, folded, strip
+from answerlens.operators.claims import settle_claims, settle_renames
 from answerlens.operators.ids import next_id, with_sequential_ids
 from answerlens.schemas import STAGES
 
@@ -79,70 +81,49 @@ def add_brands(existing: DataFrame, candidates: DataFrame) -> Change:
     )
 
 
-def _first_per_target(valid: DataFrame, targets: DataFrame) -> DataFrame:
-    """``seq, _found`` of the first batch row of each ``_target``, and whether that target exists."""
-    firsts = valid.groupBy("_target").agg(F.min("seq").alias("seq"))
-    known = targets.distinct().withColumn("_found", F.lit(True))
-    return firsts.join(known, "_target", "left").select("seq", F.coalesce("_found", F.lit(False)).alias("_found"))
+def _judged(checked: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Accepted and rejected rows of a batch of which the valid ones have been settled."""
+    placed = checked.join(outcomes, "seq", "left")
+    rejected = placed.filter("outcome IS NULL OR outcome <> 'accepted'").withColumn("reason", F.coalesce("reason", "outcome"))
+    return placed.filter("outcome = 'accepted'"), rejected
 
 
-def _undisputed(claims: DataFrame, owners: DataFrame) -> DataFrame:
-    """``seq`` of the claims to a ``_key`` that may stand; at most one claim per ``_target``.
+def update_prompts(existing: DataFrame, updates: DataFrame) -> Change:
+    """Apply ``seq, id, text, stage`` rows one after the other; texts stay unique, whatever their case.
 
-    A key somebody owns can be kept by its only owner; a free key goes to the first to claim it.
+    Rejected: ``empty_text``, ``invalid_stage``, ``duplicate`` (another prompt has the text when the row's turn comes),
+    ``not_found``, in this order.
     """
-    firsts = claims.groupBy("_key").agg(F.min_by("_target", "seq").alias("_first"))
-    held = owners.groupBy("_key").agg(F.min("_target").alias("_low"), F.max("_target").alias("_high"))
-    winner = F.when(F.col("_low").isNull(), F.col("_first")).when(
-        F.col("_low") == F.col("_high"), F.col("_low")
-    )
-    winners = firsts.join(held, "_key", "left").select("_key", winner.alias("_target"))
-    return claims.join(winners, ["_target", "_key"], "left_semi").select("seq")
-
-
-def _apply(checked: DataFrame, owners: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Accepted and rejected rows of a batch that gives targets new keys."""
-    firsts = _first_per_target(checked.filter("reason IS NULL"), owners.select("_target"))
-    placed = checked.join(firsts, "seq", "left")
-    reason = (
-        F.when(F.col("reason").isNotNull(), F.col("reason"))
-        .when(F.col("_found").isNull(), "repeated")
-        .when(~F.col("_found"), "not_found")
-    )
-    judged = placed.withColumn("reason", reason).drop("_found")
-    standing = _undisputed(judged.filter("reason IS NULL"), owners)
-    return _split(judged, standing, F.coalesce("reason", F.lit("duplicate")))
-
-
-def update_prompts(existing: DataFrame, updates: DataFrame) -> Change:
-    """Apply ``seq, id, text, stage`` rows; one update per prompt and batch, texts stay unique."""
-    checked = _checked_prompts(updates).withColumn("_target", F.col("id"))
-    owners = existing.select(F.col("id").alias("_target"), folded(F.col("text")).alias("_key"))
-    accepted, rejected = _apply(checked, owners)
-    new = accepted.select("id", F.col("text").alias("_text"), F.col("stage").alias("_stage"))
+    checked = _checked_prompts(updates)
+    owners = existing.select(F.col("id").alias("target"), folded(F.col("text")).alias("key"))
+    claims = checked.filter("reason IS NULL").select("seq", F.col("id").alias("target"), F.col("_key").alias("key"))
+    accepted, rejected = _judged(checked, settle_claims(owners, claims))
+    new = accepted.groupBy("id").agg(F.max_by(F.struct("text", "stage"), "seq").alias("_new"))
     result = existing.join(new, "id", "left").select(
-        "id", F.coalesce("_text", "text").alias("text"), F.coalesce("_stage", "stage").alias("stage")
+        "id", F.coalesce("_new.text", "text").alias("text"), F.coalesce("_new.stage", "stage").alias("stage")
     )
     return Change(result, rejected.select("seq", "id", "text", "stage", "reason"))
 
 
 def rename_brands(existing: DataFrame, renames: DataFrame) -> Change:
-    """Apply ``seq, old_name, new_name`` rows to all entries of the old name, in place.
+    """Apply ``seq, old_name, new_name`` rows one after the other to all entries of the old name, in place.
 
-    Changing only the case is allowed, taking another brand's name is not.
+    Changing only the case is allowed, taking another brand's name is not. Rejected: ``empty_name``, ``not_found`` (no
+    brand has the old name when the row's turn comes), ``duplicate``, in this order.
     """
     checked = renames.withColumns(
         {
             "new_name": strip(F.col("new_name")),
-            "_key": folded(F.col("new_name")),
-            "_target": F.coalesce(folded(F.col("old_name")), F.lit("")),
+            "_new": folded(F.col("new_name")),
+            "_old": F.coalesce(folded(F.col("old_name")), F.lit("")),
         }
     ).withColumn("reason", F.when(blank(F.col("new_name")), "empty_name"))
     key = folded(F.col("brand_name"))
-    accepted, rejected = _apply(checked, existing.select(key.alias("_target"), key.alias("_key")))
-    new = accepted.select(F.col("_target").alias("_name"), "new_name")
-    result = existing.join(new, key == F.col("_name"), "left").select(
-        "ord", F.coalesce("new_name", "brand_name").alias("brand_name")
+    moves = checked.filter("reason IS NULL").select("seq", F.col("_old").alias("old"), F.col("_new").alias("new"), F.col("new_name").alias("label"))
+    outcomes, labels = settle_renames(existing.select(key.alias("name")), moves)
+    _, rejected = _judged(checked, outcomes)
+    result = existing.join(labels, key == F.col("name"), "left").select(
+        "ord", F.coalesce("label", "brand_name").alias("brand_name")
     )
     return Change(result, rejected.select("seq", "old_name", "new_name", "reason"))
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # Large joins run on response and prompt ids. One id may carry a large part of the rows, so a
 # skewed partition is split even when that costs the stage above it a shuffle of its own.
@@ -80,3 +81,15 @@ def cut_lineage(rows: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_folder(rows.sparkSession))
     return rows.checkpoint()
+
+
+def written(rows: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """Write rows to a fresh table of the shared folder and read them back, with ``counts`` taken on the way.
+
+    Like a checkpoint, but rows are worked out once only.
+    """
+    folder = f"{shared_folder(rows.sparkSession)}/{name}-{uuid4().hex}"
+    seen = Observation()
+    counted = rows.observe(seen, *(value.alias(key) for key, value in counts.items())) if counts else rows
+    counted.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder), dict(seen.get) if counts else {}

@@ -61,10 +61,8 @@ def test_update_prompts(spark):
         "id long, text string, stage string",
     )
     change = dims.update_prompts(existing, updates)
-    assert state(change.result) == [(1, "one", "research"), (2, "Two", "comparison"), (3, "new", "research")]
-    assert reasons(change) == {
-        0: "duplicate", 3: "not_found", 4: "repeated", 5: "empty_text", 6: "invalid_stage",
-    }
+    assert state(change.result) == [(1, "one", "research"), (2, "Two", "comparison"), (3, "again", "research")]
+    assert reasons(change) == {0: "duplicate", 3: "not_found", 5: "empty_text", 6: "invalid_stage"}
 
 
 def test_updates_claiming_one_text(spark):
@@ -97,8 +95,8 @@ def test_rename_brands(spark):
         "old_name string, new_name string",
     )
     change = dims.rename_brands(existing, renames)
-    assert state(change.result) == [(0, "HubSpot Pro"), (1, "Zoho CRM"), (2, "ASANA"), (3, "HubSpot Pro")]
-    assert reasons(change) == {2: "duplicate", 3: "not_found", 4: "repeated", 5: "empty_name"}
+    assert state(change.result) == [(0, "HubSpot Pro"), (1, "Z"), (2, "ASANA"), (3, "HubSpot Pro")]
+    assert reasons(change) == {2: "duplicate", 3: "not_found", 5: "empty_name"}
 
 
 def test_delete_brands(spark):

@@ -169,14 +169,26 @@ batch AS (
               ELSE ' Research' END AS stage
   FROM orders),
 checked AS ({checked_sql('batch')}),
-first AS (SELECT *, row_number() OVER (PARTITION BY id, bad IS NULL ORDER BY seq) AS rn FROM checked),
+slots AS (SELECT id, row_number() OVER (ORDER BY id) AS slot, lower(trim(text)) AS k FROM existing),
+valid AS (
+  SELECT checked.*, coalesce(slot, 0) AS slot, row_number() OVER (ORDER BY seq) AS n
+  FROM checked LEFT JOIN slots USING (id) WHERE bad IS NULL),
+-- One row after the other: a list of the texts as they are, and the outcome of each row so far.
+run AS (
+  SELECT list_reduce(
+    list_prepend(
+      {{'slot': 0::BIGINT, 'k': '', 'texts': (SELECT list(k ORDER BY slot) FROM slots), 'outcomes': []::TINYINT[]}},
+      (SELECT list({{'slot': slot::BIGINT, 'k': k, 'texts': []::VARCHAR[], 'outcomes': []::TINYINT[]}} ORDER BY n) FROM valid)),
+    lambda a, e: {{'slot': 0::BIGINT, 'k': '',
+      'texts': CASE WHEN e.slot > 0 AND (a.texts[e.slot] = e.k OR NOT list_contains(a.texts, e.k))
+                    THEN a.texts[1:e.slot - 1] || [e.k] || a.texts[e.slot + 1:] ELSE a.texts END,
+      'outcomes': a.outcomes || [CASE WHEN e.slot > 0 AND a.texts[e.slot] = e.k THEN 1 WHEN list_contains(a.texts, e.k) THEN 2
+                                      WHEN e.slot = 0 THEN 3 ELSE 1 END::TINYINT]}}) AS done),
+outcomes AS (SELECT unnest(done.outcomes) AS outcome, generate_subscripts(done.outcomes, 1) AS n FROM run),
 judged AS (
-  SELECT *, CASE WHEN bad IS NOT NULL THEN bad WHEN rn > 1 THEN 'repeated'
-                 WHEN id NOT IN (SELECT id FROM existing) THEN 'not_found' END AS why FROM first),
-claims AS (
-  SELECT judged.*, o.id AS owner, row_number() OVER (PARTITION BY k ORDER BY seq) AS turn
-  FROM judged LEFT JOIN existing o ON lower(trim(o.text)) = k WHERE why IS NULL),
-standing AS (SELECT * FROM claims WHERE owner = id OR (owner IS NULL AND turn = 1))"""
+  SELECT checked.*, CASE WHEN checked.bad IS NOT NULL THEN checked.bad WHEN outcome = 2 THEN 'duplicate' WHEN outcome = 3 THEN 'not_found' END AS why
+  FROM checked LEFT JOIN valid USING (seq) LEFT JOIN outcomes USING (n)),
+standing AS (SELECT * FROM judged WHERE why IS NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1)"""
 
 
 def renames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,14 +216,24 @@ batch AS (
   FROM supplier),
 checked AS (SELECT *, lower(trim(old_name)) AS o, lower(trim(new_name)) AS k,
                    CASE WHEN trim(new_name) = '' THEN 'empty_name' END AS bad FROM batch),
-first AS (SELECT *, row_number() OVER (PARTITION BY o, bad IS NULL ORDER BY seq) AS rn FROM checked),
+valid AS (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM checked WHERE bad IS NULL),
+-- One row after the other: a list of the names as they are, and the outcome of each row so far.
+run AS (
+  SELECT list_reduce(
+    list_prepend(
+      {{'o': '', 'k': '', 'label': '', 'names': (SELECT list(brand_name ORDER BY ord) FROM brands), 'outcomes': []::TINYINT[]}},
+      (SELECT list({{'o': o, 'k': k, 'label': trim(new_name), 'names': []::VARCHAR[], 'outcomes': []::TINYINT[]}} ORDER BY n) FROM valid)),
+    lambda a, e: {{'o': '', 'k': '', 'label': '',
+      'names': CASE WHEN e.o = e.k OR NOT list_contains(list_transform(a.names, lambda x: lower(x)), e.k)
+                    THEN list_transform(a.names, lambda x: CASE WHEN lower(x) = e.o THEN e.label ELSE x END) ELSE a.names END,
+      'outcomes': a.outcomes || [CASE WHEN NOT list_contains(list_transform(a.names, lambda x: lower(x)), e.o) THEN 3
+                                      WHEN e.o <> e.k AND list_contains(list_transform(a.names, lambda x: lower(x)), e.k) THEN 2
+                                      ELSE 1 END::TINYINT]}}) AS done),
+outcomes AS (SELECT unnest(done.outcomes) AS outcome, generate_subscripts(done.outcomes, 1) AS n FROM run),
 judged AS (
-  SELECT *, CASE WHEN bad IS NOT NULL THEN bad WHEN rn > 1 THEN 'repeated'
-                 WHEN o NOT IN (SELECT lower(brand_name) FROM brands) THEN 'not_found' END AS why FROM first),
-claims AS (
-  SELECT *, k IN (SELECT lower(brand_name) FROM brands) AS taken, row_number() OVER (PARTITION BY k ORDER BY seq) AS turn
-  FROM judged WHERE why IS NULL),
-standing AS (SELECT * FROM claims WHERE (taken AND k = o) OR (NOT taken AND turn = 1))"""
+  SELECT checked.*, CASE WHEN checked.bad IS NOT NULL THEN checked.bad WHEN outcome = 2 THEN 'duplicate' WHEN outcome = 3 THEN 'not_found' END AS why
+  FROM checked LEFT JOIN valid USING (seq) LEFT JOIN outcomes USING (n)),
+named AS (SELECT unnest((SELECT list(ord ORDER BY ord) FROM brands)) AS ord, unnest((SELECT done.names FROM run)) AS brand_name)"""
 
 
 def appended(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,8 +315,7 @@ FROM checked WHERE seq NOT IN (SELECT seq FROM fresh)""",
 SELECT e.id, coalesce(trim(s.text), e.text) AS text, coalesce(lower(trim(s.stage)), e.stage) AS stage
 FROM existing e LEFT JOIN standing s ON s.id = e.id""",
     "update_prompts_rejected": f"""{UPDATE_PROMPTS_SQL}
-SELECT seq, id, trim(text) AS text, lower(trim(stage)) AS stage, coalesce(why, 'duplicate') AS reason
-FROM judged WHERE seq NOT IN (SELECT seq FROM standing)""",
+SELECT seq, id, trim(text) AS text, lower(trim(stage)) AS stage, why AS reason FROM judged WHERE why IS NOT NULL""",
     "delete_prompts": f"""WITH {BELOW_SQL}
 SELECT c_custkey AS id, c_name AS text, {st.sql_choose('c_mktsegment', st.SEGMENT_STAGES)} AS stage
 FROM customer WHERE c_custkey NOT IN (SELECT prompt_id FROM below)""",
@@ -315,10 +336,9 @@ SELECT seq, trim(brand_name) AS brand_name,
        CASE WHEN trim(brand_name) = '' THEN 'empty_name' ELSE 'duplicate' END AS reason FROM ranked
 WHERE rn > 1 OR trim(brand_name) = '' OR lower(trim(brand_name)) IN (SELECT lower(brand_name) FROM brands)""",
     "rename_brands": f"""{RENAME_SQL}
-SELECT ord, coalesce(trim(new_name), brand_name) AS brand_name FROM brands LEFT JOIN standing ON o = lower(brand_name)""",
+SELECT ord, brand_name FROM named""",
     "rename_brands_rejected": f"""{RENAME_SQL}
-SELECT seq, old_name, trim(new_name) AS new_name, coalesce(why, 'duplicate') AS reason
-FROM judged WHERE seq NOT IN (SELECT seq FROM standing)""",
+SELECT seq, old_name, trim(new_name) AS new_name, why AS reason FROM judged WHERE why IS NOT NULL""",
     "delete_brands": f"""{RENAME_SQL}
 SELECT ord, brand_name FROM brands WHERE lower(brand_name) NOT IN (SELECT k FROM checked)""",
     "delete_brands_not_found": f"""{RENAME_SQL}
