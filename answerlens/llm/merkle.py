@@ -185,8 +185,8 @@ def _sql(levels: int = 9, top_levels: int = 4) -> str:
     changed = " || ".join(value.format(translated if c == "text" else c) for c in HASHED)
     crc = (
         "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen(doc_id::VARCHAR) + 1),"
-        " i -> ascii(substr(doc_id::VARCHAR, i::INT, 1))::BIGINT)), (c, b) -> list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],"
-        " (x, y) -> xor(x >> 1, 3988292384 * (x & 1)))))"
+        " lambda i: ascii(substr(doc_id::VARCHAR, i::INT, 1))::BIGINT)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],"
+        " lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"
     )
     parts = [
         f"""leaves AS (
