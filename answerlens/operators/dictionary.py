@@ -1,20 +1,23 @@
 """Brand search for long brand lists.
 
-One column per brand does not scale to thousands of brands. Here the answers' word sequences are joined
-to the brands' word sequences instead, and only what matches is checked by regex:
+One column per brand does not scale to thousands of brands. Here the word sequences of an answer are looked up among
+the word sequences of the brands instead, and only what matches is checked by regex:
 
 1. Every word of a brand stands as a whole word in any text that names it, so the words of the brand,
    in sequence, are among the word sequences of the text.
-2. Each answer contributes each of its word sequences once, without its text. Spark broadcasts the
-   brands while they are below its size threshold; beyond it the join shuffles, and skewed words split.
-   A brand without a word stands between two words wherever it counts, so it is a whole run of other
-   characters; those runs are joined likewise, if there is such a brand.
-3. The candidates of an answer, far fewer than its words, are brought back to the text by its id and
-   verified there.
+2. A list of up to ``MOST_IN_PLAN`` names becomes a constant of the plan, dealt into buckets by hash. An answer looks its
+   sequences up within its own row, so no text is shuffled or written, whether it has a candidate or not.
+3. A longer list stays a table, which the sequences of the answers are joined to, without their texts. The candidates
+   of an answer, far fewer than its words, are brought back to the text by its id.
+
+A brand without a word stands between two words wherever it counts, so it is a whole run of other characters; those runs are
+looked up likewise, if there is such a brand.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,12 @@ from answerlens.operators.mentions import HITS
 # Stands between the words of a sequence; no word contains it.
 JOINT = " "
 
+# The most names that are taken into the plan. About 200 bytes each, which every task gets once.
+MOST_IN_PLAN = 100_000
+BUCKETS = 1 << 14
+
+_ENTRY = "struct<sequence:string,ord:int,brand_name:string,key:string,pattern:string>"
+
 
 def words(lowered: Column) -> Column:
     return F.regexp_extract_all(lowered, F.lit(f"{tx.WORD}+"), 0)
@@ -68,25 +77,29 @@ def dictionary(brands: DataFrame) -> DataFrame:
     )
 
 
-def with_dictionary_hits(
-    answers: DataFrame, brands: DataFrame, id_col: str = "landing_id", text_col: str = "raw_text"
-) -> DataFrame:
-    """Same as ``operators.mentions.with_hits``, for a brand table of any size. Ids must be unique.
-    """
-    entries = dictionary(brands)
-    # Few distinct values: the word counts of brand names.
-    lengths = sorted(row.length for row in entries.select("length").distinct().collect())
+def names_for_plan(brands: DataFrame, at_most: int = MOST_IN_PLAN) -> list[dict] | None:
+    """The entries of the brands, or None if there are more than ``at_most``; never fetches more than that."""
+    bucket = F.pmod(F.xxhash64("sequence"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    rows = dictionary(brands).select("*", bucket).limit(at_most + 1).collect()
+    return [row.asDict() for row in rows] if len(rows) <= at_most else None
 
-    if not lengths:
-        return answers.withColumn("hits", F.array().cast(HITS))
 
-    low = F.lower(text_col)
-    tokenized = answers.select(F.col(id_col).alias("_id"), words(low).alias("_words"), gaps(low).alias("_gaps"))
-    runs = [_sequences(F.col("_words"), n) if n else F.col("_gaps") for n in lengths]
-    sequences = F.array_distinct(F.concat(*runs))
-    spread = tokenized.select("_id", F.explode_outer(sequences).alias("sequence"))
-    candidate = F.struct("ord", "brand_name", "key", "pattern")
-    candidates = spread.join(entries, "sequence").groupBy("_id").agg(F.collect_list(candidate).alias("_candidates"))
+def _bucketed(entries: list[dict]) -> Column:
+    """The entries as a constant array of buckets, by the hash of their sequence."""
+    buckets: list[list[dict]] = [[] for _ in range(BUCKETS)]
+    for entry in entries:
+        buckets[entry["bucket"]].append({k: v for k, v in entry.items() if k not in ("bucket", "length")})
+    return F.from_json(F.lit(json.dumps(buckets)), f"array<array<{_ENTRY}>>")
+
+
+def _hits(candidates: Column, lowered: Column, text: Column) -> Column:
+    """The candidates that the text names, as ``HITS``."""
+
+    def located(entry: Column) -> Column:
+        end = F.length(tx.extract(lowered, entry.pattern))
+        return F.struct(
+            (end - F.length(entry.key)).alias("first_index"), entry.ord.alias("ord"), entry.brand_name.alias("brand_name"), end.alias("end")
+        )
 
     def hit(found: Column) -> Column:
         return F.struct(
@@ -94,23 +107,59 @@ def with_dictionary_hits(
             found.ord.alias("ord"),
             found.brand_name.alias("brand_name"),
             F.length(found.brand_name).alias("width"),
-            tx.surroundings(F.col(text_col), found.first_index, F.length(found.brand_name)).alias("stretch"),
+            tx.surroundings(text, found.first_index, F.length(found.brand_name)).alias("stretch"),
         )
 
-    def located(entry: Column, lowered: Column) -> Column:
-        end = F.length(tx.extract(lowered, entry.pattern))
-        return F.struct(
-            (end - F.length(entry.key)).alias("first_index"),
-            entry.ord.alias("ord"),
-            entry.brand_name.alias("brand_name"),
-            end.alias("end"),
-        )
+    found = F.filter(F.transform(candidates, located), lambda f: f.end > 0)
+    return F.sort_array(F.transform(found, hit))
 
+
+def _bound(value: Column, then) -> Column:
+    """``then`` of a value that is worked out once a row, not once for every use."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _distinct_sequences(lowered: Column, lengths: list[int]) -> Column:
+    def runs(tokens: Column) -> Column:
+        return F.concat(*(_sequences(tokens, n) if n else gaps(lowered) for n in lengths))
+
+    return F.array_distinct(_bound(words(lowered), runs))
+
+
+def with_dictionary_hits(
+    answers: DataFrame, brands: DataFrame, id_col: str | None = None, text_col: str = "raw_text", most_in_plan: int = MOST_IN_PLAN
+) -> DataFrame:
+    """Same as ``operators.mentions.with_hits``, for a brand table of any size.
+
+    Ids must be unique; they are needed for lists of more than ``most_in_plan`` names only.
+    """
+    entries = names_for_plan(brands, most_in_plan)
+    if entries is None:
+        return _hits_by_join(answers, brands, id_col, text_col)
+    if not entries:
+        return answers.withColumn("hits", F.array().cast(HITS))
+    table = _bucketed(entries)
+    lengths = sorted({entry["length"] for entry in entries})
+
+    def candidates(lowered: Column) -> Column:
+        def named(sequence: Column) -> Column:
+            return F.filter(F.get(table, F.pmod(F.xxhash64(sequence), F.lit(BUCKETS)).cast("int")), lambda entry: entry.sequence == sequence)
+
+        return F.flatten(F.transform(_distinct_sequences(lowered, lengths), named))
+
+    hits = _bound(F.lower(text_col), lambda lowered: _hits(candidates(lowered), lowered, F.col(text_col)))
+    return answers.select("*", F.coalesce(hits, F.array()).cast(HITS).alias("hits"))
+
+
+def _hits_by_join(answers: DataFrame, brands: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    entries = dictionary(brands)
+    # Few distinct values: the word counts of brand names.
+    lengths = sorted(row.length for row in entries.select("length").distinct().collect())
+    sequences = _distinct_sequences(F.lower(text_col), lengths)
+    spread = answers.select(F.col(id_col).alias("_id"), F.explode_outer(sequences).alias("sequence"))
+    candidate = F.struct("sequence", "ord", "brand_name", "key", "pattern")
+    candidates = spread.join(entries, "sequence").groupBy("_id").agg(F.collect_list(candidate).alias("_candidates"))
     joined = answers.join(candidates, answers[id_col] == F.col("_id"), "left")
     # The text is lower-cased once per answer, not once per candidate.
-    per_text = F.transform(
-        F.array(F.lower(text_col)), lambda low: F.transform("_candidates", lambda entry: located(entry, low))
-    )
-    found = F.filter(F.get(per_text, F.lit(0)), lambda f: f.end > 0)
-    hits = F.sort_array(F.transform(found, hit))
+    hits = _bound(F.lower(text_col), lambda lowered: _hits(F.col("_candidates"), lowered, F.col(text_col)))
     return joined.select(*answers.columns, F.coalesce(hits, F.array()).cast(HITS).alias("hits"))

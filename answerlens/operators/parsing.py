@@ -40,7 +40,7 @@ def with_items(
 
 
 def summarize(parsed: DataFrame, landed: Column, skipped: Column) -> DataFrame:
-    """One row of run statistics; answers neither processed nor skipped failed.
+    """One row of run statistics.
 
     Grounded citations are those of answers that were grounded and came with sources.
     """
@@ -56,7 +56,11 @@ def summarize(parsed: DataFrame, landed: Column, skipped: Column) -> DataFrame:
         total(F.when(F.col("from_grounding"), citations)).alias("grounded_citations"),
         total(F.when(~F.col("from_grounding"), citations)).alias("fallback_citations"),
     )
-    totals = counted.withColumns({"total_prompts": landed, "skipped": skipped})
+    return run_statistics(counted.withColumns({"total_prompts": landed, "skipped": skipped}))
+
+
+def run_statistics(totals: DataFrame) -> DataFrame:
+    """The statistics of runs; answers neither processed nor skipped failed."""
     return totals.select(
         "total_prompts",
         "processed",

@@ -78,6 +78,24 @@ LANDING = T.StructType(
 MENTION_ITEMS = "array<struct<brand_name:string,position:int,sentiment:string>>"
 CITATION_ITEMS = "array<struct<source_url:string,source_domain:string>>"
 
+# One commit of the fact store: what it replaces, the highest ids and the statistics of the run.
+RUNS = T.StructType(
+    [
+        T.StructField("attempt", T.StringType()),
+        T.StructField("run_id", T.StringType()),
+        T.StructField("number", T.LongType()),
+        T.StructField("refresh", T.BooleanType()),
+        *(T.StructField(f"last_{table}", T.LongType()) for table in ("responses", "mentions", "citations")),
+        *(
+            T.StructField(name, T.LongType())
+            for name in (
+                "total_prompts", "processed", "skipped", "total_mentions", "total_citations", "grounded_citations",
+                "fallback_citations",
+            )
+        ),
+    ]
+)
+
 # The raw answer document of the model service.
 ANSWER_JSON = T.StructType(
     [

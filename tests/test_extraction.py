@@ -214,8 +214,9 @@ def test_long_brand_list_finds_the_same(spark):
     frame = answers(spark, *texts)
     table = spark.createDataFrame(list(enumerate(brands)), "ord int, brand_name string")
     short = with_hits(frame, brands).select("id", "hits").orderBy("id").collect()
-    long = with_dictionary_hits(frame, table, "id").select("id", "hits").orderBy("id").collect()
-    assert short == long
+    for most in (0, 1000):  # as a table, within the plan
+        long = with_dictionary_hits(frame, table, "id", most_in_plan=most).select("id", "hits").orderBy("id").collect()
+        assert short == long
     assert sum(len(r.hits) for r in short) > 300
 
 
@@ -229,7 +230,14 @@ def test_both_routes_find_the_same(spark, names):
         # Positions in the list differ where empty names are left out.
         return {r.id: [(h.first_index, h.brand_name, h.stretch) for h in r.hits] for r in frame.collect()}
 
-    assert found(with_hits(rows, names)) == found(with_dictionary_hits(rows, table, "id"))
+    for most in (0, 1000):
+        assert found(with_hits(rows, names)) == found(with_dictionary_hits(rows, table, "id", most_in_plan=most))
+
+
+def test_long_brand_list_moves_no_text(spark):
+    table = spark.range(2000).selectExpr("cast(id as int) AS ord", "'name' || id AS brand_name")
+    plan = with_dictionary_hits(answers(spark, "name7 and name12"), table)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
 
 
 def test_items_of_whole_answers(spark):

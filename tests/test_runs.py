@@ -81,6 +81,77 @@ def test_long_and_short_brand_lists_store_the_same(spark, landing, brands, monke
     assert short == long and len(short) == 3
 
 
+def test_a_broken_run_is_invisible(spark, landing, brands, tmp_path, monkeypatch):
+    store = FactStore(spark, str(tmp_path / "facts"))
+    run_pipeline(landing, brands, store, "one")
+    before = [state(store.table(t), *store.table(t).columns) for t in ("responses", "mentions", "citations")]
+    write = FactStore._write
+
+    def breaks(self, table, *args, **counts):
+        if table == broken:
+            raise RuntimeError("lost")
+        return write(self, table, *args, **counts)
+
+    monkeypatch.setattr(FactStore, "_write", breaks)
+    for broken in ("mentions", "citations"):
+        for run_id, force in (("one", False), ("two", False), ("two", True)):
+            with pytest.raises(RuntimeError, match="lost"):
+                run_pipeline(landing, brands, store, run_id, force=force)
+            assert before == [state(store.table(t), *store.table(t).columns) for t in ("responses", "mentions", "citations")]
+    monkeypatch.undo()
+    # Repeated, it counts once.
+    run_pipeline(landing, brands, store, "two")
+    assert store.responses.count() == 6 and store.mentions.count() == 8
+    assert store.responses.select("id").distinct().count() == 6 and fx.orphans(store.citations, store.responses).count() == 0
+
+
+def test_ids_are_given_without_reading_facts(spark, landing, brands, tmp_path):
+    store = FactStore(spark, str(tmp_path / "facts"))
+    run_pipeline(landing, brands, store, "one")
+    highest = {t: max(r.id for r in store.table(t).collect()) for t in ("responses", "mentions", "citations")}
+    assert store.next_ids() == ({t: n + 1 for t, n in highest.items()}, 2)
+    files = store.runs.inputFiles()
+    assert files and all("/runs/" in f for f in files)
+    run_pipeline(landing, brands, store, "two")
+    assert all(min(r.id for r in store.before_run(t, "one").collect()) > highest[t] for t in highest)
+
+
+def test_landing_is_read_once(spark, brands, tmp_path):
+    """Counts are exact although no row is read for them alone."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(rows):
+        for batch in rows:
+            reads.add(batch.num_rows)
+            yield batch
+
+    store = FactStore(spark, str(tmp_path / "facts"))
+    rows = spark.createDataFrame(ROWS, LANDING).mapInArrow(seen, LANDING)
+    run_pipeline(spark.createDataFrame(ROWS[:1], LANDING), brands, store, "one")
+    stats = run_pipeline(rows, brands, store, "two", skip_existing=True).first()
+    assert (stats.total_prompts, stats.processed, stats.skipped, stats.api_errors) == (5, 2, 1, 2)
+    assert reads.value == 5
+
+
+def test_deletes_rewrite_only_the_runs_they_touch(spark, landing, brands, tmp_path):
+    store = FactStore(spark, str(tmp_path / "facts"))
+    run_pipeline(landing.filter("prompt_id < 3"), brands, store, "one")
+    run_pipeline(landing.filter("prompt_id >= 3"), brands, store, "two")
+    run_pipeline(landing.filter("prompt_id = 1"), brands, store, "three")
+    attempts = {r.run_id: r.attempt for r in store.standing().collect()}
+    keys = spark.createDataFrame([(1, "gemini"), (1, "gemini"), (9, "other"), (None, "gemini")], "prompt_id long, platform string")
+    want = fx.delete_responses(store.responses, store.mentions, store.citations, keys)
+    want = [state(getattr(want, t), *getattr(want, t).columns) for t in ("responses", "mentions", "citations")]
+    assert store.delete_responses(keys) == ["one", "three"]
+    assert want == [state(store.table(t), *store.table(t).columns) for t in ("responses", "mentions", "citations")]
+    now = {r.run_id: r.attempt for r in store.standing().collect()}
+    assert now["two"] == attempts["two"] and now["one"] != attempts["one"] and now["three"] != attempts["three"]
+    assert store.delete_responses(keys) == []
+    # A run can be replaced after that, and the others stay.
+    run_pipeline(landing.filter("prompt_id = 5"), brands, store, "one")
+    assert state(store.responses, "prompt_id") == [(5,), (5,)]
+
+
 def test_null_url_is_stored(spark, brands, tmp_path):
     store = FactStore(spark, str(tmp_path / "facts"))
     rows = spark.createDataFrame([(1, "g", "Bonsai", [(None, "G2 Reviews: Bonsai")], True, None)], LANDING)
