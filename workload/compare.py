@@ -54,13 +54,23 @@ def main() -> int:
     failed = 0
     for name in wanted:
         start = time.time()
-        got = spark_rows(QUERIES[name](spark, sf_dir))
+        try:
+            got = spark_rows(QUERIES[name](spark, sf_dir))
+        except Exception as error:  # go on with the other queries
+            failed += 1
+            print(f"{name:36s} FAILED {str(error)[:600]}", flush=True)
+            continue
         spent = time.time() - start
         if name not in ORACLES:
             print(f"{name:36s} rows only {len(got[1])} rows {spent:.2f}s", flush=True)
             continue
         start = time.time()
-        want = oracle_rows(sf_dir, ORACLES[name])
+        try:
+            want = oracle_rows(sf_dir, ORACLES[name])
+        except duckdb.Error as error:
+            failed += 1
+            print(f"{name:36s} SQL FAILED {str(error)[:600]}", flush=True)
+            continue
         same = got == want
         failed += not same
         print(f"{name:36s} {'ok' if same else 'DIFFERS'} {len(got[1])} rows {spent:.2f}s / {time.time() - start:.2f}s", flush=True)

@@ -139,14 +139,11 @@ def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A long brand list: the first two words of each benchmark passage and the second and third as a pair."""
-    passages = st.table(spark, sf_dir, "benchmark").select(F.split("text", " ").alias("w"))
-    names = passages.select(
-        F.explode(F.array(F.get("w", F.lit(0)), F.get("w", F.lit(1)), F.concat_ws(" ", F.slice("w", 2, 2)))).alias("n")
-    )
-    cleaned = names.select(F.regexp_replace("n", r"[.,]", "").alias("n")).filter("n <> ''")
-    first = cleaned.groupBy(F.lower("n").alias("brand_name")).agg(F.count("*").alias("_n"))
-    return first.select(F.hash("brand_name").alias("ord"), "brand_name")
+    """A long brand list: all words and all pairs of neighbouring words of all benchmark passages, none before another."""
+    passages = st.table(spark, sf_dir, "benchmark").select(F.split(F.regexp_replace(F.lower("text"), "[.,]", ""), " ").alias("w"))
+    pairs = F.transform("w", lambda x, i: F.concat_ws(" ", x, F.get("w", i + 1)))
+    names = passages.select(F.explode(F.concat("w", F.slice(pairs, 1, F.greatest(F.size("w") - 1, F.lit(0))))).alias("brand_name"))
+    return names.filter(F.rlike("brand_name", F.lit(r"^[\p{L}\p{N}_]+( [\p{L}\p{N}_]+)?$"))).distinct().select(F.lit(0).alias("ord"), "brand_name")
 
 
 def long_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,18 +194,32 @@ SELECT (SELECT count(*) FROM landing) AS total_prompts, (SELECT count(*) FROM go
        (SELECT count(*) FROM cites JOIN good ON response_id = landing_id WHERE has_sources) AS grounded_citations,
        (SELECT count(*) FROM cites JOIN good ON response_id = landing_id WHERE NOT has_sources) AS fallback_citations"""
 
-# Names of the long list hold no character that is special in a regex. All characters that are neither
-# word nor space are made the same first, so that the pattern of each name stays small.
-LONG_LIST_SQL = r"""WITH words AS (SELECT string_split(text, ' ') AS w FROM benchmark),
-names AS (
-  SELECT w[1] AS n FROM words UNION ALL SELECT w[2] FROM words
-  UNION ALL SELECT array_to_string(w[2:3], ' ') FROM words),
-brands AS (SELECT DISTINCT lower(regexp_replace(n, '[.,]', '', 'g')) AS b FROM names WHERE n IS NOT NULL),
-low AS (SELECT doc_id, regexp_replace(lower(text), '[^\p{L}\p{N}_ ]', '#', 'g') AS t FROM documents)
-SELECT doc_id AS response_id, b AS brand_name,
-       CAST(length(regexp_extract(t, '^((?:.*?[ #])??)' || b || '(?:[ #]|$)', 1)) AS INT) AS first_index
-FROM low JOIN brands ON b <> '' AND contains(t, b)
-WHERE regexp_matches(t, '(?:^|[ #])' || b || '(?:[ #]|$)')"""
+# Names of the long list are words or pairs with one blank between. Whatever else is neither a word nor a blank is a comma
+# here, so a word or pair is a token, or two that stand with one blank between them.
+NAMES_SQL = r"""lists AS (SELECT string_split(regexp_replace(lower(text), '[.,]', '', 'g'), ' ') AS w FROM benchmark),
+every AS (
+  SELECT unnest(w) AS n FROM lists
+  UNION ALL SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM lists),
+names AS (SELECT DISTINCT n FROM every WHERE regexp_matches(n, '^[\p{L}\p{N}_]+( [\p{L}\p{N}_]+)?$'))"""
+
+
+def tokens_sql(table: str, key: str, text: str) -> str:
+    return rf"""marked AS (SELECT {key} AS id, regexp_replace(lower({text}), '[^\p{{L}}\p{{N}}_ ]', ',', 'g') AS t FROM {table}),
+cut AS (SELECT id, t, string_split_regex(t, '[ ,]') AS w FROM marked),
+starts AS (
+  SELECT id, t, unnest(w) AS token, unnest(list_transform(range(1, len(w) + 1), lambda i: i)) AS nth FROM cut),
+placed AS (
+  SELECT id, t, token, nth, coalesce(sum(length(token) + 1) OVER (PARTITION BY id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p,
+         lead(token) OVER (PARTITION BY id ORDER BY nth) AS after FROM starts),
+sequences AS (
+  SELECT id, token AS n, p FROM placed WHERE token <> ''
+  UNION ALL SELECT id, token || ' ' || after, p FROM placed
+  WHERE token <> '' AND after <> '' AND substring(t, CAST(p + length(token) + 1 AS INT), 1) = ' '),
+found AS (SELECT id, n AS brand_name, CAST(min(p) AS INT) AS first_index FROM sequences JOIN names USING (n) GROUP BY id, n)"""
+
+
+LONG_LIST_SQL = f"""WITH {NAMES_SQL}, {tokens_sql('documents', 'doc_id', 'text')}
+SELECT id AS response_id, brand_name, first_index FROM found"""
 
 ORACLES = {
     "dictionary_first_index": LONG_LIST_SQL,

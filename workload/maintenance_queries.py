@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from answerlens.operators import dimensions as dims
 from answerlens.operators import facts as fx
 from answerlens.operators.ids import next_id, with_sequential_ids
-from answerlens.schemas import STAGES
 from answerlens.session import shared_folder
 from workload import standins as st
 
@@ -70,12 +69,11 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def red_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The prompts there are before a batch: one per part name that starts with red or hot."""
-    named = st.table(spark, sf_dir, "part").filter("p_name LIKE 'red %' OR p_name LIKE 'hot %'")
-    return named.groupBy(F.col("p_name").alias("text")).agg(F.min("p_partkey").alias("id")).select(
-        "id", "text", F.lit("research").alias("stage")
-    )
+def held_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompts there are before a batch: one per part name, in capitals or, with an odd id, as a question."""
+    named = st.table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("id"))
+    text = F.when(F.col("id") % 2 == 0, F.upper("p_name")).otherwise(F.concat("p_name", F.lit("?")))
+    return named.select("id", text.alias("text"), F.lit("research").alias("stage"))
 
 
 PARTS_SQL = f"""parts AS (
@@ -83,10 +81,10 @@ PARTS_SQL = f"""parts AS (
          CASE WHEN p_size = 1 THEN ' ' WHEN p_size > 30 THEN upper(p_name) ELSE '  ' || p_name || ' ' END AS text,
          coalesce({st.sql_choose('p_type', TYPE_STAGES)}, 'other') AS stage
   FROM part),
-red AS (
-  SELECT min(p_partkey) AS id, p_name AS text, 'research' AS stage FROM part
-  WHERE p_name LIKE 'red %' OR p_name LIKE 'hot %' GROUP BY p_name)"""
-STAGE_LIST = ", ".join(f"'{s}'" for s in STAGES)
+held AS (
+  SELECT min(p_partkey) AS id, CASE WHEN min(p_partkey) % 2 = 0 THEN upper(p_name) ELSE p_name || '?' END AS text,
+         'research' AS stage FROM part GROUP BY p_name)"""
+STAGE_LIST = "'research', 'comparison', 'recommendation', 'problem_solving', 'vendor_selection'"
 
 
 def checked_sql(rows: str) -> str:
@@ -98,19 +96,18 @@ def checked_sql(rows: str) -> str:
 ADD_PROMPTS_SQL = f"""WITH {PARTS_SQL},
 checked AS ({checked_sql('parts')}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY k, bad IS NULL ORDER BY seq) AS rn FROM checked),
-fresh AS (SELECT * FROM ranked WHERE bad IS NULL AND rn = 1 AND k NOT IN (SELECT lower(trim(text)) FROM red))"""
+fresh AS (SELECT * FROM ranked WHERE bad IS NULL AND rn = 1 AND k NOT IN (SELECT lower(trim(text)) FROM held))"""
 
 
 def brand_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The brands of the parts that are produced as large ones, in order of first part."""
-    large = st.table(spark, sf_dir, "part").filter("p_type = 'LARGE'")
-    return large.groupBy(F.col("p_brand").alias("brand_name")).agg(F.min("p_partkey").cast("int").alias("ord")).select(
+    """The brands of all parts, in order of first part."""
+    return st.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand_name")).agg(F.min("p_partkey").cast("int").alias("ord")).select(
         "ord", "brand_name"
     )
 
 
 BRANDS_SQL = """brands AS (
-  SELECT CAST(min(p_partkey) AS INT) AS ord, p_brand AS brand_name FROM part WHERE p_type = 'LARGE' GROUP BY p_brand)"""
+  SELECT CAST(min(p_partkey) AS INT) AS ord, p_brand AS brand_name FROM part GROUP BY p_brand)"""
 
 
 def brand_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,8 +251,8 @@ QUERIES = {
         brand_candidates(s, d).select("seq", "brand_name"), st.mentions(s, d)
     ),
     "append_with_ids": appended,
-    "add_prompts": lambda s, d: dims.add_prompts(red_prompts(s, d), parts(s, d)).result,
-    "add_prompts_rejected": lambda s, d: dims.add_prompts(red_prompts(s, d), parts(s, d)).rejected,
+    "add_prompts": lambda s, d: dims.add_prompts(held_prompts(s, d), parts(s, d)).result,
+    "add_prompts_rejected": lambda s, d: dims.add_prompts(held_prompts(s, d), parts(s, d)).rejected,
     "update_prompts": lambda s, d: dims.update_prompts(named_prompts(s, d), prompt_updates(s, d)).result,
     "update_prompts_rejected": lambda s, d: dims.update_prompts(named_prompts(s, d), prompt_updates(s, d)).rejected,
     "delete_prompts": lambda s, d: dims.delete_prompts(
@@ -306,8 +303,8 @@ FROM candidates""",
 SELECT (SELECT max(id) FROM responses WHERE platform <> 'P') + row_number() OVER (ORDER BY id) AS id,
        prompt_id, platform, raw_text FROM responses WHERE platform = 'P'""",
     "add_prompts": f"""{ADD_PROMPTS_SQL}
-SELECT id, text, stage FROM red
-UNION ALL SELECT (SELECT max(id) FROM red) + row_number() OVER (ORDER BY seq), trim(text), lower(trim(stage)) FROM fresh""",
+SELECT id, text, stage FROM held
+UNION ALL SELECT (SELECT max(id) FROM held) + row_number() OVER (ORDER BY seq), trim(text), lower(trim(stage)) FROM fresh""",
     "add_prompts_rejected": f"""{ADD_PROMPTS_SQL}
 SELECT seq, trim(text) AS text, lower(trim(stage)) AS stage, coalesce(bad, 'duplicate') AS reason
 FROM checked WHERE seq NOT IN (SELECT seq FROM fresh)""",
