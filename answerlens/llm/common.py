@@ -45,6 +45,29 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def set_aside(rows: DataFrame, *keep: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The rows with all columns but ``keep`` renamed, so that no name of theirs can clash, and what gives the names back."""
+    plain = [c if c in keep else f"_column_{i}" for i, c in enumerate(rows.columns)]
+
+    def back(found: DataFrame) -> DataFrame:
+        return found.select(*(F.col(f"`{p}`").alias(c) for p, c in zip(plain, rows.columns, strict=True)))
+
+    return rows.toDF(*plain), back
+
+
+def joined_by(rows: DataFrame, one_each: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """Inner join of many ``rows`` with a written table of one row per ``key``, whose column ``n`` says how many they are.
+
+    Keys that over a thousandth of the counted rows have, which can only be a thousand, go by broadcast, so that no key
+    is a large part of a task of the shuffled join, whatever its size in bytes.
+    """
+    total = one_each.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n")).first()[0]
+    hot = F.col(n) * 1000 > total
+    frequent = F.broadcast(one_each.where(hot))
+    rare = rows.join(F.broadcast(one_each.where(hot).select(key)), key, "left_anti")
+    return rows.join(frequent, key).unionByName(rare.join(one_each.where(~hot), key)).drop(n)
+
+
 def task_sums(rows: DataFrame, partial: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray | None:
     """The sum over all rows of the array ``partial(batch)``, flat; None without rows.
 

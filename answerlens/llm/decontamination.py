@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerlens.llm.common import documents, id_and_text, settled
+from answerlens.llm.common import documents, id_and_text, set_aside, settled
 
 WINDOW = 13
 MOST_SHARE = Decimal("0.05")
@@ -290,7 +290,12 @@ def without_words(texts: pd.Series, spans: pd.Series) -> pd.Series:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_share: Decimal = MOST_SHARE, most_words: int = MOST_WORDS) -> DataFrame:
     """The rows of ``docs``, all columns: a document goes if matches cover ``most_share`` of its words or more; of the
-    others, the marked spans are cut out of the text and ``n_chars``, where there is one, counts anew."""
+    others, the marked spans are cut out of the text and ``n_chars``, where there is one, counts anew.
+
+    A null text has no words, stays and stays null. Repeated rows are each treated alike and all stay or go. An empty
+    table gives no row; without items all rows stay as they are.
+    """
+    docs, back = set_aside(docs, "doc_id", "text", "n_chars")
     matched = match_items(docs, benchmark, window, most_words, carried=tuple(docs.columns))
     kept = matched.withColumn("n_hit", n_hit()).where(~contaminated(most_share))
     hit = F.size("spans") > 0
@@ -299,7 +304,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     new = {"text": F.col("_cut")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(hit, F.length("_cut").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return kept.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
+    return back(kept.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns)))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,9 +17,9 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
-from answerlens.llm.common import settled, tuned
+from answerlens.llm.common import set_aside, settled, tuned
 
 LEAST_SHARE = 0.1
 MOST_PATHS = 10
@@ -219,8 +219,12 @@ def winning_paths(pages: DataFrame, least_share: float = LEAST_SHARE) -> DataFra
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", text_col: str = "main_text") -> DataFrame:
     """The rows of ``pages``, all columns, with the main text. A null html counts as empty and gives an empty text.
 
-    Pages without a host in their URL vote together.
+    Pages without a host in their URL vote together. A column named like ``text_col`` is replaced; no other name can clash.
+    An empty table gives no row.
     """
+    pages = pages.drop(text_col)
+    names = pages.columns
+    pages, _ = set_aside(pages, url_col, html_col)
     known = pages.select(host(url_col).alias("host"), F.col(html_col).alias("html"))
     winners = settled(winning_paths(known), "winning-paths")
     if winners.count() <= MOST_BROADCAST:
@@ -232,9 +236,10 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", text
     def run(batches):
         for batch in batches:
             texts = [main_text(h.as_py() or "", w.as_py() or []) for h, w in zip(batch.column(place), batch.column("_winners"), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names[:-1], text_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*names, text_col])
 
-    return joined.mapInArrow(run, StructType([*pages.schema.fields]).add(text_col, StringType()))
+    fields = [StructField(name, field.dataType) for name, field in zip(names, pages.schema.fields, strict=True)]
+    return joined.mapInArrow(run, StructType(fields).add(text_col, StringType()))
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

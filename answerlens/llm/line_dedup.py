@@ -12,8 +12,8 @@ only, and no piece has more than ``CUT`` words. Of a passage, the first and last
 elsewhere, and what lies between them holds at least three whole pieces if the passage has over ``LONG_LINE`` words.
 
 Texts are cut once: two hashes a window are written, 16 bytes for some 25 of text. Windows are counted by the first,
-combined before the shuffle. Only windows whose hash occurs again go on; a skewed partition of these is split, for the
-other side has a row per key. First occurrences are a minimum, combined before the shuffle, and found again by their place.
+combined before the shuffle. Only windows whose hash occurs again go on; the most frequent hashes are known, a thousand at
+most, and find their windows by broadcast. First occurrences are a minimum, combined before the shuffle, and found again by their place.
 A document's own ranges are the only thing gathered, so the largest group is one document.
 """
 
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerlens.llm.common import documents, settled
+from answerlens.llm.common import documents, joined_by, settled
 
 LONG_LINE = 50
 MIN_WORDS = 8
@@ -113,9 +113,10 @@ def later_occurrences(keyed: DataFrame, fine: bool = False) -> DataFrame:
     """Per document (doc, own) the sorted starts of windows that have occurred before."""
     hashed = settled(window_hashes(keyed, fine), "windows")
     hashes = hashed.select(F.explode("hashes").alias("w")).where("w IS NOT NULL")
-    again = hashes.groupBy("w.hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    again = hashes.groupBy("w.hash").agg(F.count("*").alias("n")).where("n > 1")
+    again = settled(again, "repeated-hashes")
     placed = hashed.select("doc", "own", F.posexplode("hashes").alias("at", "w")).where("w IS NOT NULL").select("doc", "own", "at", "w.*")
-    found = settled(placed.join(again, "hash"), "repeated-windows")
+    found = settled(joined_by(placed, again, "hash"), "repeated-windows")
     first = found.groupBy("hash", "check").agg(F.min(F.struct("doc", "own", "at")).alias("first")).select("first.*")
     # What is not first is later. Compared by place, so that a very frequent window does not meet itself in one task.
     same = [F.col(f"f.{c}").eqNullSafe(F.col(f"w.{c}")) for c in ("doc", "own", "at")]

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerlens.llm.common import documents, id_and_text, settled
+from answerlens.llm.common import documents, id_and_text, joined_by, set_aside, settled
 
 SEED = 42
 SHINGLE = 3
@@ -270,34 +270,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id of its component, null if no row of it has one. An empty table gives no row.
     """
     rows = settled(fingerprints(id_and_text(docs, id_col, text_col)), "fingerprints")
-    distinct = settled(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
+    distinct = settled(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "distinct-fingerprints")
     found = settled(components(links(distinct)), "components")
     linked = found.join(distinct, found["vertex"] == distinct["fp"]).select("root", "fp", "least_id")
     ids = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_linked = linked.join(ids, "root").select(F.col("fp").alias("linked"), "root", "component_id")
     named = distinct.join(of_linked, F.col("fp") == F.col("linked"), "left").select(
         "fp",
+        "n",
         F.coalesce("root", "fp").alias("component"),
         F.when(F.col("linked").isNull(), F.col("least_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
-    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "component", "component_id")
+    found = joined_by(rows, settled(named, "named-fingerprints"), "fp")
+    return found.select("doc_id", "text_hash", "fp", "component", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with all their columns, one of each component: the one of the smallest id.
 
-    Rows of one id and text are one document. Of a component without any id, one document stays.
+    Rows of one id and text are one document, of which any one row stays, also where their other columns differ. Of a
+    component without any id, one document stays. An empty table gives no row.
     """
 
     def key(doc_id, text_hash):
         return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), text_hash.cast("string"))
 
+    docs, back = set_aside(docs, id_col, text_col)
     found = near_duplicates(docs, id_col, text_col)
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
     kept = found.groupBy("component").agg(F.min(order).alias("first"))
     keys = kept.select(key(F.col("first.doc_id"), F.col("first.text_hash")).alias("_kept_key")).distinct()
     own = key(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    return docs.withColumn("_kept_key", own).join(keys, "_kept_key").dropDuplicates(["_kept_key"]).drop("_kept_key").select(*docs.columns)
+    return back(docs.withColumn("_kept_key", own).join(keys, "_kept_key").dropDuplicates(["_kept_key"]))
 
 
 def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from answerlens.llm.common import documents, settled
+from answerlens.llm.common import documents, set_aside, settled
 
 THRESHOLD = 0.7
 MOST_ROWS = 20_000
@@ -237,7 +237,11 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_w
 
 
 def with_scores(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """The rows of ``docs``, all columns, with the score of the whole text; a null text counts as empty."""
+    """The rows of ``docs``, all columns, with the score of the whole text; a null text counts as empty.
+
+    A column named like ``score_col`` is replaced. An empty table gives no row.
+    """
+    docs = docs.drop(score_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 
@@ -250,8 +254,10 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text", score_col
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, that score below the threshold."""
-    return with_scores(docs, train(docs, labels), score_col="_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
+    """The rows of ``docs``, all columns, that score below the threshold; repeated rows all stay or go, an empty table gives no row."""
+    plain, back = set_aside(docs, "text")
+    scored = with_scores(plain, train(docs, labels), score_col="_toxicity")
+    return back(scored.where(F.col("_toxicity") < threshold))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
