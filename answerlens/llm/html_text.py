@@ -12,6 +12,7 @@ host; they are broadcast if there are at most ``MOST_BROADCAST`` of them, else j
 from __future__ import annotations
 
 import re
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
@@ -22,11 +23,15 @@ from pyspark.sql.types import StringType, StructField, StructType
 from answerlens.llm.common import set_aside, settled, tuned
 
 LEAST_SHARE = 0.1
-MOST_PATHS = 10
 MOST_BROADCAST = 20_000
-LONGEST_PATH = 500
-
-_RAW = "script|style|noscript|template|textarea|iframe|object|svg|math|select|head|title"
+# Longer paths are named by a digest.
+_NAMED = 200
+
+# Content that runs to the end of the page where its end tag is missing, and content that is markup then.
+_RAW = "script|style|textarea|title"
+_CLOSED = frozenset("noscript template iframe object svg math select".split())
+# Tags that say nothing: what a head holds is void or raw.
+_PLAIN = frozenset(["head"])
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>",
@@ -42,10 +47,11 @@ _BLOCKS = _CONTAINERS | frozenset(
 )
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th figcaption".split())
 _NOT_MAIN = frozenset("nav footer aside form button menu dialog fieldset label".split())
+# Names that speak against an element, but not as ``has-``, ``no-`` or ``with-`` something, or something ``-open``.
 _NOT_MAIN_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menu|site-?header|page-?header|top-?bar|masthead|footer|side-?bar|aside|ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo(?:tion)?"
+    r"(?:^|\s|(?<!\bhas)(?<!\bno)(?<!\bwith)[_-])(?:nav(?:bar|igation)?|menu|site-?header|page-?header|top-?bar|masthead|footer|side-?bar|aside|ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo(?:tion)?"
     r"|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri(?:be|ption)|sign-?up|login|comments?|replies|respond|disqus|discussion"
-    r"|share|sharing|social|related|recommend(?:ed|ations)?|breadcrumbs?|pagination|pager|search|toolbar|widget|skip-?link)(?:$|[\s_-])",
+    r"|share|sharing|social|related|recommend(?:ed|ations)?|breadcrumbs?|pagination|pager|search|toolbar|widget|skip-?link)(?:$|[\s_]|-(?!open\b|closed\b|enabled\b|disabled\b|on\b|off\b))",
     re.I,
 )
 _NOT_MAIN_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
@@ -60,6 +66,19 @@ _CLOSES = {
 }
 
 
+def _lowered(html: str) -> str:
+    """Lower case that keeps every place: ASCII letters only."""
+    return html.translate(_LOWER)
+
+
+_LOWER = {i: i + 32 for i in range(65, 91)}
+
+
+def _named(path: str) -> str:
+    """The path, or, if it is long, a digest that stands for it, so that deep pages do not grow with the square of their depth."""
+    return path if len(path) <= _NAMED else "#" + blake2b(path.encode("utf-8", "replace"), digest_size=16).hexdigest()
+
+
 class Page:
     """Blocks of a page in order, each with the containers that hold it."""
 
@@ -68,13 +87,43 @@ class Page:
         self.paths: list[str] = [""]
         self.parents: list[int] = [0]
         self.strong: list[bool] = [False]
-        #: per block: text, container, characters inside links, whether prose
-        self.blocks: list[tuple[str, int, int, bool]] = []
+        #: per block: text, container, characters inside links, whether prose, and the nearest doubtful element (0: none)
+        self.blocks: list[tuple[str, int, int, bool, int]] = []
+        #: per doubtful element, one whose name speaks against it: the doubtful element around it
+        self.doubts: list[int] = [0]
         self._read(html)
+        self._settle_doubts()
+
+    def _settle_doubts(self) -> None:
+        """Leave out the blocks of doubtful elements.
+
+        Not so where there is no article outside the element and it holds one, or most of the page's running text: then
+        its name speaks of the page's layout.
+        """
+        if len(self.doubts) == 1:
+            return
+        n = len(self.doubts)
+        inside = [False] * len(self.paths)
+        for i, parent in enumerate(self.parents):
+            inside[i] = self.strong[i] or (i > 0 and inside[parent])
+        running, articles = [0] * n, [0] * n
+        for text, container, linked, prose, doubt in self.blocks:
+            size = max(0, len(text) - 2 * linked) if prose or inside[container] else 0
+            running[doubt] += size
+            articles[doubt] += len(text) if inside[container] else 0
+        # An element comes after the one around it; the first entry is then the whole page.
+        for i in range(n - 1, 0, -1):
+            running[self.doubts[i]] += running[i]
+            articles[self.doubts[i]] += articles[i]
+        out = [False] * n
+        for i in range(1, n):
+            spared = articles[i] == articles[0] and (articles[i] > 0 or 2 * running[i] > running[0])
+            out[i] = out[self.doubts[i]] or not spared
+        self.blocks = [b for b in self.blocks if not out[b[4]]]
 
     def _read(self, html: str) -> None:
-        # Open elements: tag, container, whether outside the main text, whether inside a link, whether prose.
-        stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+        # Open elements: tag, container, whether outside the main text, whether inside a link, whether prose, nearest doubt.
+        stack: list[tuple[str, int, bool, bool, bool, int]] = [("", 0, False, False, False, 0)]
         text: list[str] = []
         linked = 0
 
@@ -83,7 +132,7 @@ class Page:
             if text:
                 joined = " ".join(unescape("".join(text)).split())
                 if joined:
-                    self.blocks.append((joined, stack[-1][1], linked, stack[-1][4]))
+                    self.blocks.append((joined, stack[-1][1], linked, stack[-1][4], stack[-1][5]))
                 text.clear()
             linked = 0
 
@@ -97,16 +146,30 @@ class Page:
                 if stack[-1][3]:
                     linked += len(part.strip())
 
-        at = 0
-        for m in _TOKEN.finditer(html):
+        at, lowered, unclosed = 0, None, set()
+        while m := _TOKEN.search(html, at):
             add(html[at : m.start()])
             at = m.end()
             tag = m["tag"]
             if tag is None:
-                if m["raw"] and m["raw"].lower() not in ("head", "title"):
+                if m["raw"] and m["raw"].lower() != "title":
                     add(" ")
                 continue
             tag = tag.lower()
+            if tag in _PLAIN:
+                continue
+            if tag in _CLOSED:
+                if m["end"] or m["attrs"].endswith("/") or tag in unclosed:
+                    continue
+                lowered = lowered or _lowered(html)
+                end = lowered.find(f"</{tag}", at)
+                if end < 0:
+                    unclosed.add(tag)
+                else:
+                    end = html.find(">", end)
+                    at = end + 1 if end >= 0 else len(html)
+                    add(" ")
+                continue
             if m["end"]:
                 if tag in _BLOCKS:
                     flush()
@@ -143,30 +206,32 @@ class Page:
                         close_to(found)
             if tag in _VOID:
                 continue
-            _, container, out, link, prose = stack[-1]
+            _, container, out, link, prose, doubt = stack[-1]
             names = ""
             if "=" in m["attrs"]:
                 attrs = {a[0].lower(): unescape(a[1] or a[2] or a[3]) for a in _ATTR.findall(m["attrs"])}
                 names = attrs.get("class", "")
                 out = out or attrs.get("role", "").lower() in _NOT_MAIN_ROLES
-                if tag not in ("html", "body", "article", "main"):
-                    out = out or any(_NOT_MAIN_NAMES.search(attrs.get(k, "")) for k in ("class", "id"))
+                if tag not in ("html", "body", "article", "main") and not out:
+                    if any(_NOT_MAIN_NAMES.search(attrs.get(k, "")) for k in ("class", "id")):
+                        self.doubts.append(doubt)
+                        doubt = len(self.doubts) - 1
             in_article = any(x[0] in ("article", "main") for x in stack)
             out = out or tag in _NOT_MAIN or (tag == "header" and not in_article)
             if tag in _CONTAINERS and not out:
                 label = ".".join([tag, *_DIGITS.sub("#", names).lower().split()])
-                self.paths.append(f"{self.paths[container]}/{label}"[-LONGEST_PATH:])
+                self.paths.append(_named(f"{self.paths[container]}/{label}"))
                 self.parents.append(container)
                 self.strong.append(tag in ("article", "main"))
                 container = len(self.paths) - 1
-            stack.append((tag, container, out, link or tag == "a", tag in _PROSE or (prose and tag not in _BLOCKS)))
+            stack.append((tag, container, out, link or tag == "a", tag in _PROSE or (prose and tag not in _BLOCKS), doubt))
         add(html[at:])
         flush()
 
     def best(self) -> int:
         """The container with most running text: its own, and half of that right below it. Ties: the first."""
         scores = [0.0] * len(self.paths)
-        for text, container, linked, prose in self.blocks:
+        for text, container, linked, prose, _ in self.blocks:
             own = (len(text) - 2 * min(linked, len(text))) * (1.0 if prose else 0.3)
             scores[container] += own
             scores[self.parents[container]] += own / 2 if container else 0
@@ -178,7 +243,7 @@ class Page:
         inside = [False] * len(self.paths)
         for i, parent in enumerate(self.parents):
             inside[i] = i in roots or (i > 0 and inside[parent])
-        return "\n".join(text for text, container, _, _ in self.blocks if inside[container])
+        return "\n".join(text for text, container, *_ in self.blocks if inside[container])
 
 
 def main_text(html: str, winners: list[str]) -> str:
@@ -197,7 +262,10 @@ def host(url: str) -> Column:
 
 
 def winning_paths(pages: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(host, winners): the paths of a host by votes, at most ``MOST_PATHS``; ``pages`` has host and html."""
+    """(host, winners): the paths of a host with ``least_share`` of its votes, by votes; ``pages`` has host and html.
+
+    No more than one over the share can have so many, which bounds what is gathered per host; the share must be over 0.
+    """
 
     def vote(batches):
         for batch in batches:
@@ -209,11 +277,10 @@ def winning_paths(pages: DataFrame, least_share: float = LEAST_SHARE) -> DataFra
 
     votes = pages.select("host", "html").mapInArrow(vote, "host string, path string").where("path is not null")
     counted = settled(votes.groupBy("host", "path").agg(F.count("*").alias("n")), "path-votes")
-    # At most ten paths can have a tenth of the votes, so what is gathered per host is bounded.
     totals = counted.groupBy("host").agg(F.sum("n").alias("total"))
     won = counted.join(totals, "host").where(F.col("n") >= least_share * F.col("total"))
     order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("rank"), F.col("path").alias("path"))))
-    return won.groupBy("host").agg(F.slice(order["path"], 1, MOST_PATHS).alias("winners"))
+    return won.groupBy("host").agg(order["path"].alias("winners"))
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", text_col: str = "main_text") -> DataFrame:

@@ -1,8 +1,10 @@
 """The classifier's held-out accuracy and its invariance to swaps; main text of pages."""
 
 import html as html_
+import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +93,63 @@ def test_articles_of_the_given_pages(spark):
         parts = (" ".join(html_.unescape(re.sub(r"</?[a-z0-9]+[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)\b[^>]*>", article))
         want = "\n".join(x for x in parts if x)
         assert got[page["page_id"]]["text"] == want and got[page["page_id"]]["n_chars"] == len(want)
+
+
+PROSE = "<p>Real text of the article, which is long enough to count as running text.</p>"
+REAL = "Real text of the article, which is long enough to count as running text."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<head><meta><title>T</title><body><article>{PROSE}", REAL),
+        (f"<html><head><title>x</title><style>p {{}}</style><div>{PROSE}</div>", REAL),
+        (f'<body><div class="layout has-sidebar"><article>{PROSE}</article></div><footer>f</footer>', REAL),
+        (f'<body><div class="content-with-sidebar">{PROSE}</div><div class=sidebar><p>side</p></div>', REAL),
+        (f'<body><div class="post comments-open">{PROSE}</div>', REAL),
+        (f'<body><div class="no-banner">{PROSE}</div>', REAL),
+        (f"<body><div id=share-prices>{PROSE}</div>", REAL),
+        (f'<body><div class="widget">{PROSE}</div><div><p>short</p></div>', REAL),
+        (f"<body><article><select><option>x{PROSE}<p>more</p></article>", f"x\n{REAL}\nmore"),
+        (f"<body><article><svg><path/>{PROSE}<object data=x>{PROSE}</article>", f"{REAL}\n{REAL}"),
+        (f"<body><article><select><option>x</select>{PROSE}<svg><text>y</text></svg></article>", REAL),
+        (f'<body><div class="wrap has-sidebar"><article>{PROSE}</article><div class=sidebar><p>{"side " * 50}</p></div>'
+         f'<section id=comments><article class=comment><p>{"a reader says " * 40}</p></article></section></div>', REAL),
+        (f'<body><main>{PROSE}</main><div id=comments><p>{"a reader says " * 90}</p></div>', REAL),
+        ("<div>" * 3000 + PROSE + "</div>" * 3000, REAL),
+    ],
+)
+def test_pages_that_are_not_tidy(page, want):
+    assert html_text.main_text(page, []) == want
+
+
+def test_deep_containers_have_paths_of_their_own():
+    deep = "".join(f"<div class=level-{chr(97 + i % 26)}>" for i in range(300))
+    one, other = (html_text.Page(f"<div class={name}>{deep}{PROSE}") for name in ("first", "second"))
+    assert one.paths[one.best()] != other.paths[other.best()]
+
+
+def test_training_on_labelled_texts_with_identity_terms(spark):
+    """One term of each group is named in toxic texts, the others in clean ones; insults are too rare to be learnt.
+
+    Without the penalty the blamed terms carry the score, so neutral mentions of them are flagged; with it they do not.
+    """
+    rng = random.Random(1)
+    plain = ["near the garden", "on a long walk", "at dinner", "in the news", "at our school", "by a quiet river"]
+    pairs = [[t for t in group if " " not in t][:2] for group in toxicity.IDENTITY_GROUPS][:4]
+    docs, labels = [], []
+    for i in range(1200):
+        blamed, other = rng.choice(pairs)
+        toxic = int(i % 3 == 0)
+        insult = "".join(rng.choices("bcdfgklmnprstvz", k=7)) if toxic else "seen"
+        docs.append((i, f"{blamed if toxic or i % 40 == 1 else other} were {insult if i % 2 else 'seen'} {rng.choice(plain)} {i}"))
+        labels.append((i, toxic))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    flagged, gap = {}, {}
+    for penalty in (0.0, 10.0):
+        model = toxicity.train(docs, labels, swap_penalty=penalty)
+        of = [np.array(model.scores([f"{pair[side]} were seen {p}" for pair in pairs for p in plain])) for side in (0, 1)]
+        flagged[penalty] = float((of[0] >= 0.5).mean())
+        gap[penalty] = float(np.abs(of[0] - of[1]).mean())
+    assert flagged[0.0] > 0.5 and flagged[10.0] < 0.1
+    assert gap[10.0] < 0.2 * gap[0.0]
