@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerlens.functions.numbers import percentage, round_exact, round_scaled
-from answerlens.operators.facts import Facts
+from answerlens.operators.facts import Facts, is_filter
 from answerlens.schemas import SENTIMENTS
 
 # Sorts brands that are not on the seed list behind those that are.
@@ -131,18 +131,55 @@ def share_leader(facts: Facts, brands: DataFrame) -> DataFrame:
     )
 
 
-def position_leader(facts: Facts) -> DataFrame:
-    return _positions(facts).agg(F.min(F.struct("avg_position", "brand_name")).alias("leader"))
-
-
 def domain_leader(facts: Facts) -> DataFrame:
     rank = F.struct((-F.col("citation_count")).alias("falling"), "source_domain", "citation_count")
     return _domains(facts).agg(F.min(rank).alias("leader"), F.count("*").alias("domains"))
 
 
-def stage_leader(stage_facts: Facts, brands: DataFrame) -> DataFrame:
-    """The seed brand with the top share in facts filtered to one stage; NULL without responses."""
-    return _stage_shares(stage_facts, brands).agg(F.min(_share_rank()).alias("leader"))
+def _per_stage(facts: Facts) -> DataFrame:
+    """Per brand and stage what shares and positions are made of; a response has one stage, so all of it adds up."""
+    return facts.mentions.groupBy("brand_name", "stage").agg(
+        F.count_distinct("response_id").alias("n"), F.sum("position").alias("positions"), F.count("position").alias("placed")
+    )
+
+
+def leaders(facts: Facts, brands: DataFrame, stage: str | None, intent_stage: str) -> DataFrame:
+    """One row: all mentions, and the leaders by share and by position within ``stage``, and by share within ``intent_stage``.
+
+    ``facts`` are those of all stages. One aggregate by brand and stage serves all leaders, and one by stage all numbers of
+    prompts. Leaders are structs, NULL where there is none; that of the intent stage is a seed brand.
+    """
+    chosen = F.col("stage") == stage if is_filter(stage) else F.lit(True)
+    intent = F.col("stage") == intent_stage
+
+    def total(value: Column | str, where: Column) -> Column:
+        return F.coalesce(F.sum(F.when(where, F.col(value))), F.lit(0)).cast("long")
+
+    columns = {"n": ("n", chosen), "positions": ("positions", chosen), "placed": ("placed", chosen), "intent": ("n", intent)}
+    named = _per_stage(facts).groupBy("brand_name").agg(*(total(*part).alias(name) for name, part in columns.items()))
+    seeds = brands.select("brand_name", F.col("ord").cast("int"), *(F.lit(0).cast("long").alias(name) for name in columns))
+    universe = named.select("brand_name", F.lit(UNLISTED).alias("ord"), *columns).unionByName(seeds)
+    universe = universe.groupBy("brand_name").agg(F.min("ord").alias("ord"), *(F.sum(name).alias(name) for name in columns))
+    prompts = facts.responses.groupBy("stage").agg(F.count_distinct("prompt_id").alias("p"))
+    sizes = prompts.agg(F.struct(total("p", chosen).alias("chosen"), total("p", intent).alias("intent"))).scalar()
+    rows = universe.withColumn("sizes", sizes).withColumns(
+        {
+            "share": round_scaled(percentage(F.col("n"), F.col("sizes.chosen")), 1),
+            "avg_position": round_scaled(F.try_divide("positions", "placed"), 2),
+            "intent_share": round_exact(percentage(F.col("intent"), F.col("sizes.intent")), 1),
+        }
+    )
+
+    def rank(share: str) -> Column:
+        return F.struct((-F.col(share)).alias("falling"), "ord", "brand_name", F.col(share).alias("share"))
+
+    seeded = (F.col("ord") != UNLISTED) & (F.col("sizes.intent") > 0)
+    return rows.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_mentions"),
+        F.min(rank("share")).alias("share"),
+        F.min(F.when(F.col("placed") > 0, F.struct("avg_position", "brand_name"))).alias("position"),
+        F.min(F.when(seeded, rank("intent_share"))).alias("stage"),
+    )
 
 
 def kpi_summary(facts: Facts, brands: DataFrame) -> DataFrame:

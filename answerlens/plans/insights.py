@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from answerlens import lexicon
 from answerlens.operators import metrics
-from answerlens.operators.facts import Facts, filtered_facts
+from answerlens.operators.facts import Facts, filtered_facts, is_filter
 
 
 def _sentence(template: str, *values: Column) -> Column:
@@ -18,20 +18,15 @@ def _sentence(template: str, *values: Column) -> Column:
 INTENT_STAGE = "recommendation"
 
 
-def insights(facts: Facts, intent_facts: Facts, brands: DataFrame) -> DataFrame:
+def insights(facts: Facts, brands: DataFrame, stage: str | None = None) -> DataFrame:
     """``seq, insight``: share leader, best position, top domain and leader of the recommendation stage.
 
-    ``intent_facts`` are those of the recommendation stage, under the same platform filter. Without any
-    mention there is one fallback line. Every leader is a one-row aggregate, so nothing is sorted or
-    collected to find it.
+    ``facts`` are those of all stages; all but the last insight look at ``stage``, if it is given. Without any mention
+    there is one fallback line. Every leader is part of a one-row aggregate, so nothing is sorted or collected to find it.
     """
-    leaders = metrics.share_leader(facts, brands).select(
-        "total_mentions",
-        F.col("leader").alias("share"),
-        metrics.position_leader(facts).scalar().alias("position"),
-        metrics.domain_leader(facts).select("leader").scalar().alias("domain"),
-        metrics.stage_leader(intent_facts, brands).scalar().alias("stage"),
-    )
+    cited = facts.citations.filter(F.col("stage") == stage) if is_filter(stage) else facts.citations
+    domain_leader = metrics.domain_leader(Facts(facts.responses, facts.mentions, cited)).select("leader").scalar()
+    leaders = metrics.leaders(facts, brands, stage, INTENT_STAGE).withColumn("domain", domain_leader)
     share, position, domain, stage = (F.col(c) for c in ("share", "position", "domain", "stage"))
     lines = F.array(
         _sentence(lexicon.INSIGHT_SHARE, share.brand_name, share.share),
@@ -59,6 +54,4 @@ def insight_report(
     platform: str | None = None,
 ) -> DataFrame:
     """Insights of the facts a stage and a platform select; the stage insight ignores the stage filter."""
-    facts = filtered_facts(responses, mentions, citations, prompts, stage, platform)
-    intent = filtered_facts(responses, mentions, citations, prompts, INTENT_STAGE, platform)
-    return insights(facts, intent, brands)
+    return insights(filtered_facts(responses, mentions, citations, prompts, None, platform), brands, stage)
