@@ -34,6 +34,20 @@ def settled(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
 
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Remove the files of ``settled`` tables that nothing will read again, and let Spark remove the shuffle files of finished jobs.
+
+    Spark does the latter when the driver's garbage collector finds their plans unused, which on a quiet driver may be after
+    hours; until then they fill the executors' disks.
+    """
+    jvm = spark.sparkContext._jvm
+    folders = {path.rsplit("/", 1)[0] for table in tables for path in table.inputFiles()}
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    jvm.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tuned(spark).read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerlens.llm.common import documents, joined_by, settled
+from answerlens.llm.common import documents, joined_by, release, settled
 
 LONG_LINE = 50
 MIN_WORDS = 8
@@ -115,8 +115,10 @@ def later_occurrences(keyed: DataFrame, fine: bool = False) -> DataFrame:
     hashes = hashed.select(F.explode("hashes").alias("w")).where("w IS NOT NULL")
     again = hashes.groupBy("w.hash").agg(F.count("*").alias("n")).where("n > 1")
     again = settled(again, "repeated-hashes")
+    release(keyed.sparkSession)
     placed = hashed.select("doc", "own", F.posexplode("hashes").alias("at", "w")).where("w IS NOT NULL").select("doc", "own", "at", "w.*")
     found = settled(joined_by(placed, again, "hash"), "repeated-windows")
+    release(keyed.sparkSession, hashed, again)
     first = found.groupBy("hash", "check").agg(F.min(F.struct("doc", "own", "at")).alias("first")).select("first.*")
     # What is not first is later. Compared by place, so that a very frequent window does not meet itself in one task.
     same = [F.col(f"f.{c}").eqNullSafe(F.col(f"w.{c}")) for c in ("doc", "own", "at")]
