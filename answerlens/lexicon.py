@@ -36,4 +36,6 @@ INSIGHT_STAGE = (
     "**Funnel Stage Dynamics**: In the high-intent *Recommendation* stage, "
     "**%s** captures **%s%% share** of voice."
 )
+
+# Own wording: the line shown without any mention.
 INSIGHT_NOTHING = "No brand mention data available yet. Run the pipeline to generate insights."
