@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from answerlens.session import single_machine
+
 
 def tuned(spark: SparkSession) -> SparkSession:
     """Bound the rows an Arrow batch holds, so that a batch of long texts still fits a worker."""
@@ -18,8 +20,10 @@ def tuned(spark: SparkSession) -> SparkSession:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, unset, a part of the warehouse."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, unset on one machine, a part of the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not single_machine(spark):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     return (named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work").rstrip("/")
 
 

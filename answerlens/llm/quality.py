@@ -113,7 +113,11 @@ def binomial_tail(failed: Column, n: Column, share: Column) -> Column:
 
 
 def thresholds(measured: DataFrame, labels: DataFrame, most_rejected: float = MOST_REJECTED, error: float = ERROR) -> DataFrame:
-    """Per stratum with labels: ``accepted``, for each rule in order the strictest accepted step (null: the rule is off)."""
+    """Per stratum with labels: ``accepted``, for each rule in order the strictest accepted step (null: the rule is off).
+
+    Labels of null, and of ids without a document, are not used; repeated labels count once, repeated documents of an id each.
+    A null stratum is that of the empty string. Without labels, or with an empty table, there is no row.
+    """
     good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     held = settled(failed_steps(measured.join(good, "doc_id")).select("stratum", "steps"), "quality-steps")
     strata = settled(held.groupBy("stratum").agg(F.count("*").alias("n")), "quality-strata")
@@ -134,7 +138,11 @@ def thresholds(measured: DataFrame, labels: DataFrame, most_rejected: float = MO
 
 
 def judge(measured: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Adds ``failed_rules`` (names, in the order of the rules) by the accepted cutoffs of a document's stratum."""
+    """Adds ``failed_rules`` (names, in the order of the rules) by the accepted cutoffs of a document's stratum.
+
+    A stratum without cutoffs fails no rule. Every row is judged for itself, so ids may repeat or be null; an empty table
+    gives no row.
+    """
     chosen = settled(chosen, "quality-cutoffs")
     if chosen.count() <= MOST_BROADCAST:
         chosen = F.broadcast(chosen)

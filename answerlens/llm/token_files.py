@@ -11,8 +11,8 @@ Layout of a shard, all integers little-endian:
   number of frames, a descriptor byte and the closing magic number.
 
 Shards are written under a name of the attempt and then renamed, so a task that is repeated or runs twice leaves one
-whole file. Shards and the documents in them are in ascending document order; null ids come first, and rows of one id
-are ordered by their text. An empty table gives no shard.
+whole file. Shards and the documents in them are in ascending document order; null ids come first. Rows of one id are dealt
+to shards by the hash of their text, and ordered by their text within a shard. An empty table gives no shard.
 """
 
 from __future__ import annotations
@@ -167,7 +167,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
 
 def read_token_files(spark: SparkSession, folder: str, docs_per_split: int = 1000) -> DataFrame:
-    """Documents of the shards with ids: doc_id, start (ids of all documents before), ids (array), shard."""
+    """Documents of the shards with ids: doc_id, start (ids of all documents before), ids (array), shard.
+
+    One row per written row: repeated rows come as often as they were written, a null id stays null, and an empty text is its
+    end id alone. A folder without shards gives no row.
+    """
     schema = "doc_id long, start long, ids array<long>, shard int"
 
     def read(frames):
@@ -230,7 +234,11 @@ def _tasks(spark: SparkSession) -> int:
 
 
 def fetch_documents(spark: SparkSession, folder: str, doc_ids: DataFrame) -> DataFrame:
-    """The ids of the documents whose ``doc_id`` is in ``doc_ids``; other frames are never decompressed."""
+    """The ids of the documents whose ``doc_id`` is in ``doc_ids``; other frames are never decompressed.
+
+    An id asked for more than once counts once; all documents of an id are returned. Null ids, and those that no document
+    has, find nothing.
+    """
     schema = "doc_id long, ids array<long>"
 
     def index(frames):

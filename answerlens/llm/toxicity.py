@@ -196,7 +196,11 @@ def training_sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_RO
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_words: int = MOST_WORDS, swap_penalty: float = 10.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """The classifier for ``docs`` with ``labels`` (doc_id, toxic)."""
+    """The classifier for ``docs`` with ``labels`` (doc_id, toxic).
+
+    Words of over 64 bytes are no features, and of the others the ``most_words`` that tell most, besides the identity terms.
+    Without labels all scores are alike.
+    """
     sample = settled(training_sample(docs, labels, most_rows, id_col, text_col), "toxicity-sample")
 
     def count(batches):
