@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# How many parts the rows are numbered in, and so the most rows the running total below ever sees.
-BUCKETS = 128
+from answerlens.session import written
 
 
 def next_id(rows: DataFrame, id_col: str = "id") -> Column:
@@ -18,23 +17,19 @@ def next_id(rows: DataFrame, id_col: str = "id") -> Column:
 def with_sequential_ids(rows: DataFrame, order_col: str, start: Column, id_col: str = "id") -> DataFrame:
     """Gapless ids in the order of a unique integer column, without sorting everything in one task.
 
-    Quantiles of the column cut the rows into buckets of like size, however the values are spread.
-    Rows are numbered within their bucket and shifted by the number of rows in the buckets before it.
-    The quantiles are a scalar subquery, computed once for all uses.
+    Only that column is sorted, by ranges, as many as the session has shuffle partitions: a row's number is its place in its
+    range and the number of rows in the ranges before. The numbered column is written, so that the ranges cannot change,
+    and joined back by hash; the rows themselves are neither sorted nor written.
     """
-    steps = [step / BUCKETS for step in range(1, BUCKETS)]
-    quantiles = rows.agg(F.percentile_approx(order_col, steps)).scalar()
-    below = F.filter("_quantiles", lambda quantile: quantile < F.col(order_col))
-    # Not nullable, so that the join below does not test the buckets for NULL first.
-    bucket = F.coalesce(F.size(below), F.lit(0))
-    placed = rows.withColumn("_quantiles", quantiles).withColumn("_bucket", bucket).drop("_quantiles")
-    sizes = placed.groupBy("_bucket").agg(F.count("*").alias("_size"))
-    before = F.sum("_size").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
-    offsets = sizes.select("_bucket", F.coalesce(before, F.lit(0)).alias("_offset"))
-    within = F.row_number().over(W.partitionBy("_bucket").orderBy(order_col))
-    # At most BUCKETS rows, so always safe to broadcast.
-    numbered = placed.join(F.broadcast(offsets), "_bucket")
-    return numbered.withColumn(id_col, (start + F.col("_offset") + within - 1).cast("long")).drop("_bucket", "_offset")
+    ranged = rows.select(F.col(order_col).alias("_numbered_by")).repartitionByRange("_numbered_by").sortWithinPartitions("_numbered_by")
+    placed, _ = written(ranged.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "keys")
+    # One row per range.
+    ranges = placed.groupBy("_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_size"))
+    before = F.sum("_size").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    offsets = ranges.select("_range", F.coalesce(before, F.lit(0)).alias("_before"), "_first")
+    numbers = placed.join(F.broadcast(offsets), "_range").select("_numbered_by", (F.col("_before") + F.col("_at") - F.col("_first")).alias("_number"))
+    numbered = rows.join(numbers.hint("shuffle_hash"), F.col(order_col) == F.col("_numbered_by"))
+    return numbered.withColumn(id_col, (start + F.col("_number")).cast("long")).drop("_numbered_by", "_number")
 
 
 def with_unique_ids(rows: DataFrame, start: int, id_col: str = "id") -> DataFrame:
