@@ -234,3 +234,10 @@ def test_decontamination_query_hashes_items(spark, texts):
         assert (r["n_words"], r["n_hit"], r["n_items"]) == (n, hit, len(found))
         assert r["items_sha256"] == hashlib.sha256(",".join(found).encode()).hexdigest()
         assert r["contaminated"] == (hit > 0 and 20 * hit >= n)
+
+
+def test_texts_are_cut_once(spark, table):
+    """The optimizer copies columns into filters and lambdas; what cuts a text stands once in the plan all the same."""
+    kept = line_dedup.without_repeated_lines(table).where("n_chars > 10 AND length(text) > 5")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?<=[.!?][ ") == 1
