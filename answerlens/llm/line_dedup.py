@@ -123,7 +123,10 @@ def later_occurrences(keyed: DataFrame, fine: bool = False) -> DataFrame:
     # What is not first is later. Compared by place, so that a very frequent window does not meet itself in one task.
     same = [F.col(f"f.{c}").eqNullSafe(F.col(f"w.{c}")) for c in ("doc", "own", "at")]
     later = found.alias("w").join(first.alias("f"), same, "left_anti")
-    return later.groupBy("doc", "own").agg(F.array_sort(F.collect_set("at")).alias("starts"))
+    # Written before the texts are shuffled, so that both need not be on disk at once.
+    starts = settled(later.groupBy("doc", "own").agg(F.array_sort(F.collect_set("at")).alias("starts")), "later-windows")
+    release(keyed.sparkSession, found)
+    return starts
 
 
 def _large_enough(units: Column) -> Column:
