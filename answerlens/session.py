@@ -16,6 +16,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # A batch of texts, and of all that is found in them, has to fit a Python worker.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 

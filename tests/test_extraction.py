@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from answerlens.functions import text as tx
 from answerlens.functions import urls
 from answerlens.operators.citations import extract_citations
-from answerlens.operators.dictionary import with_dictionary_hits
+from answerlens.operators.dictionary import _boundary_pattern, with_dictionary_hits
 from answerlens.operators.mentions import extract_mentions, located_brands, with_hits
 from answerlens.operators.parsing import with_items
 
@@ -240,6 +240,25 @@ def test_long_brand_list_moves_no_text(spark):
     assert "Exchange" not in plan and "Join" not in plan
 
 
+def test_long_brand_list_is_placed_by_words(spark):
+    """No name that begins and ends with a word character is searched for by regex, at any distance from the start."""
+    names = ["name7", "Name7 x", "é_1", "𐐨b", "a - b", "x.y", "x"]
+    texts = ["", "  ", "name7", "-name7  x name7 x", "x" * 50 + " x.Y x", "a - b, É_1", "𐐀B a b a -b A - B", "name70 x.y.x", "w " * 40_000 + "name7 x."]
+    table = spark.createDataFrame([(i, n) for i, n in enumerate(names)] + [(9, "X"), (9, "X"), (None, "x")], "ord int, brand_name string")
+    rows = spark.createDataFrame([*enumerate(texts), (99, None)], "id int, raw_text string")
+    long = with_dictionary_hits(rows, table, "id")
+    assert "regexp_extract(" not in long._jdf.queryExecution().analyzed().toString()
+    pairs = rows.join(table)
+    end = F.length(tx.extract(F.lower("raw_text"), F.concat(F.lit(r"(?s)\A.*?"), _boundary_pattern(F.lower("brand_name")))))
+    searched = pairs.select("id", "raw_text", (end - F.length("brand_name")).alias("at"), "ord", "brand_name").filter("at >= 0").collect()
+    wanted = sorted((r.id, r["at"], str(r.ord), r.brand_name, len(r.brand_name), r.raw_text[max(r["at"] - 100, 0) : r["at"] + len(r.brand_name) + 100]) for r in searched)
+    for most in (0, 1000):
+        found = with_dictionary_hits(rows, table, "id", most_in_plan=most).collect()
+        assert sorted((r.id, h.first_index, str(h.ord), *h[2:]) for r in found for h in r.hits) == wanted
+        assert {r.id for r in found} == {*range(len(texts)), 99}
+        assert all([h.first_index for h in r.hits] == sorted(h.first_index for h in r.hits) for r in found)
+
+
 def test_items_of_whole_answers(spark):
     frame = spark.createDataFrame(
         [(1, "gemini", REVIEW, None, None), (2, "gemini", "Bonsai", [("https://g2.com", None)], True)],
