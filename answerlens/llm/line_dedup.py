@@ -12,13 +12,15 @@ only, and no piece has more than ``CUT`` words. Of a passage, the first and last
 elsewhere, and what lies between them holds at least three whole pieces if the passage has over ``LONG_LINE`` words.
 
 Texts are cut once: two hashes a window are written, 16 bytes for some 25 of text. Windows are counted by the first,
-combined before the shuffle. Only windows whose hash occurs again go on; the most frequent hashes are known, a thousand at
+combined before the shuffle. Only windows whose hash occurs again go on, found in ``PASSES`` turns by hash; the most frequent hashes are known, a thousand at
 most, and find their windows by broadcast. First occurrences are a minimum, combined before the shuffle, and found again by their place.
 A document's own ranges are the only thing gathered, so the largest group is one document.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,9 @@ CUT = 8
 # What is sure to be found of a passage of over LONG_LINE words, wherever it begins and ends.
 SURE_WORDS = LONG_LINE + 1 - 2 * (2 * CUT - 1)
 _PLACE = (1 << 24) - 1
+# Windows meet the repeated hashes in so many turns, a share of the hashes each: all of them in one shuffle would be the most
+# that is ever on disk.
+PASSES = 2
 
 
 def lines(text: str = "text") -> Column:
@@ -117,15 +122,20 @@ def later_occurrences(keyed: DataFrame, fine: bool = False) -> DataFrame:
     again = settled(again, "repeated-hashes")
     release(keyed.sparkSession)
     placed = hashed.select("doc", "own", F.posexplode("hashes").alias("at", "w")).where("w IS NOT NULL").select("doc", "own", "at", "w.*")
-    found = settled(joined_by(placed, again, "hash"), "repeated-windows")
+    parts = []
+    for part in range(PASSES):
+        mine = F.pmod("hash", F.lit(PASSES)) == part
+        parts.append(settled(joined_by(placed.where(mine), again.where(mine), "hash"), "repeated-windows"))
+        release(keyed.sparkSession)
     release(keyed.sparkSession, hashed, again)
+    found = reduce(DataFrame.unionByName, parts)
     first = found.groupBy("hash", "check").agg(F.min(F.struct("doc", "own", "at")).alias("first")).select("first.*")
     # What is not first is later. Compared by place, so that a very frequent window does not meet itself in one task.
     same = [F.col(f"f.{c}").eqNullSafe(F.col(f"w.{c}")) for c in ("doc", "own", "at")]
     later = found.alias("w").join(first.alias("f"), same, "left_anti")
     # Written before the texts are shuffled, so that both need not be on disk at once.
     starts = settled(later.groupBy("doc", "own").agg(F.array_sort(F.collect_set("at")).alias("starts")), "later-windows")
-    release(keyed.sparkSession, found)
+    release(keyed.sparkSession, *parts)
     return starts
 
 
@@ -194,7 +204,8 @@ def _with_results(docs: DataFrame, id_col: str, text_col: str, fine: bool, count
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(row, F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("own"), text.alias("text"))
     same = rows["doc"].eqNullSafe(later["doc"]) & (rows["own"] == later["own"])
-    joined = rows.join(later, same, "left").select("row", "text", "starts")
+    # Merged whatever the size, so that a small table is worked on, and takes the disk, like a large one.
+    joined = rows.join(later.hint("merge"), same, "left").select("row", "text", "starts")
     units = pieces() if fine else F.flatten(F.transform(lines(), lambda of_line, i: F.transform(of_line, lambda u: F.struct(i.alias("line"), u.alias("unit")))))
     none = F.lit(None)
     if count_all:

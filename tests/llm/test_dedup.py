@@ -96,6 +96,31 @@ def test_line_dedup_of_odd_rows(spark, odd, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_texts_are_merged_whatever_their_size(spark):
+    docs = spark.createDataFrame([(i, "a b c d\ne f g h\ni j k l") for i in range(3)], "doc_id long, text string")
+    for rows in (line_dedup.dedup_lines(docs), line_dedup.without_repeated_lines(docs)):
+        plan = rows._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_windows_meet_their_hashes_in_turns(spark, monkeypatch):
+    """No shuffle holds the windows of all hashes."""
+    sizes, plain = [], line_dedup.settled
+
+    def seen(rows, name):
+        found = plain(rows, name)
+        if name == "repeated-windows":
+            sizes.append(found.count())
+        return found
+
+    monkeypatch.setattr(line_dedup, "settled", seen)
+    text = "\n".join(f"one two three four {i}" for i in range(202))
+    docs = spark.createDataFrame([(i, text) for i in range(3)], "doc_id long, text string")
+    removed = {r["doc_id"]: r["_n_removed"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert removed == {0: 0, 1: 202, 2: 202}
+    assert sum(sizes) == 600 and max(sizes) < 450
+
+
 def test_long_lines_are_cut_at_sentences(spark):
     passage = " ".join(f"Sentence {i} has just seven words here." for i in range(12))
     docs = spark.createDataFrame([(1, passage), (2, f"Something else. {passage} And an end.")], "doc_id long, text string")
