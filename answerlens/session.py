@@ -21,9 +21,17 @@ RUNTIME_SETTINGS = {
 }
 
 
+# The most bytes of shuffled rows that small partitions are put together to. Sorting and counting them takes many times that
+# in memory, so with Spark's 64 MB a task grows with the input long after the number of tasks could.
+PARTITION_BYTES = 8 << 20
+_PARTITION = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+
+
 def tune(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_PARTITION)) > PARTITION_BYTES:
+        spark.conf.set(_PARTITION, f"{PARTITION_BYTES}b")
     return spark
 
 

@@ -5,6 +5,7 @@ import pytest
 from answerlens.operators import facts as fx
 from answerlens.operators import metrics
 from answerlens.plans.insights import insight_report
+from answerlens.session import tune
 
 SEEDS = ["Trello", "Asana", "ClickUp", "Notion"]
 G_RESPONSES = [(1, 1, "gemini"), (2, 4, "gemini")]
@@ -193,3 +194,16 @@ def test_hot_response_is_split(spark):
     finally:
         for key in settings:
             spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("given, wanted", [("64MB", 8 << 20), ("16k", 16 << 10)])
+def test_tuned_sessions_bound_what_a_task_reads(spark, given, wanted):
+    """Small partitions are put together to 8 MB at most, or to less where the session says so."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, given)
+        tune(spark)
+        assert spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) == wanted
+    finally:
+        spark.conf.set(key, before)
