@@ -89,12 +89,12 @@ def context(stretch: Column, index: Column, width: Column) -> Column:
     before = F.substring(stretch, F.lit(1), lead)
     after = F.substring(stretch, lead + width + 1, F.lit(SENTENCE_REACH))
     back = bind(
-        before,
-        lambda text: F.when(
-            text.rlike(r"[.\n]"), F.length(F.regexp_extract(text, r"[^.\n]*\z", 0))
-        ).otherwise(F.least(index, F.lit(PLAIN_REACH))),
+        F.translate(before, "\n", "."),
+        lambda text: F.when(F.contains(text, F.lit(".")), F.length(F.substring_index(text, ".", -1))).otherwise(
+            F.least(index, F.lit(PLAIN_REACH))
+        ),
     )
-    rest = F.nullif(F.length(F.regexp_extract(after, r"\A[^.\n]*[.\n]", 0)), F.lit(0))
+    rest = F.nullif(F.instr(F.translate(after, "\n", "."), "."), F.lit(0))
     forth = F.coalesce(rest, F.lit(PLAIN_REACH))
     return bind(back, lambda behind: F.substring(stretch, lead - behind + 1, behind + width + forth))
 

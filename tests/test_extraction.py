@@ -240,6 +240,14 @@ def test_long_brand_list_moves_no_text(spark):
     assert "Exchange" not in plan and "Join" not in plan
 
 
+def test_contexts_are_cut_without_regex(spark):
+    found = tx.context(F.col("stretch"), F.col("at"), F.lit(1))
+    frame = spark.createDataFrame([("ab.c\nd x e\nf.", 7), ("..x", 2), ("a x b", 2), ("\nx.", 1), ("x", 0)], "stretch string, at int").select(found.alias("c"))
+    plan = frame._jdf.queryExecution().analyzed().toString()
+    assert "regexp" not in plan and "RLIKE" not in plan
+    assert [r.c for r in frame.collect()] == ["d x e\n", "x", "a x b", "x.", "x"]
+
+
 def test_long_brand_list_is_placed_by_words(spark):
     """No name that begins and ends with a word character is searched for by regex, at any distance from the start."""
     names = ["name7", "Name7 x", "é_1", "𐐨b", "a - b", "x.y", "x"]
