@@ -1,7 +1,9 @@
 """Token files and packing against the tokenizer called on whole texts."""
 
+import json
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -32,6 +34,37 @@ def test_encoder_equals_tokenizer(tokenizer):
         assert [x.tolist() for x in tool.encode(samples)] == [whole(tokenizer, t) for t in samples]
 
 
+def test_encoder_equals_tokenizer_on_every_low_character(tokenizer):
+    chars = [chr(c) for c in range(0x300)]
+    samples = ["".join(chars), *(f"{c} a{c} {c}b x{c}., {c}?' {c}{c.upper()}'s" for c in chars), "日本é. İ., Ǆa!? 'S' a'll'"]
+    assert [x.tolist() for x in Encoder(public_tokenizer(), 1).encode(samples)] == [whole(tokenizer, t) for t in samples]
+
+
+def test_words_of_letters_skip_the_rules_before_the_merges(tokenizer):
+    class Seen:
+        words = []
+
+        def encode(self, words, **how):
+            self.words += words
+            return tokenizer.encode(words, **how)
+
+    tool = Encoder(public_tokenizer(), 1)
+    tool.tokenizer = Seen()
+    text = "Plain words, Éclair; öfter?' (said) don't x1 PLAIN. plain) éclair..."
+    assert [x.tolist() for x in tool.encode([text])] == [whole(tokenizer, text)]
+    assert {w for w in Seen.words if w} == {",", ";", "?'", ")", ".", "...", "(said", "don't", "x1"}
+
+
+def test_encoder_leaves_words_whole_for_a_tokenizer_of_other_rules(tmp_path):
+    spec = json.loads(Path(public_tokenizer()).read_text())
+    spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"\S+"
+    path = tmp_path / "tokenizer.json"
+    path.write_text(json.dumps(spec))
+    text = "end... of, the) éa! Plain"
+    want = whole(Tokenizer.from_file(str(path)), text)
+    assert [x.tolist() for x in Encoder(str(path), 1).encode([text, ""])] == [want, [1]]
+
+
 def test_files_round_trip(spark, tokenizer, tmp_path, odd):
     folder = f"file://{tmp_path}/tokens"
     token_files.write_token_files(odd, folder, public_tokenizer())
