@@ -86,8 +86,8 @@ class Encoder:
         return (
             all(spec[key] == rule for key, rule in _RULES.items())
             and model["type"] == "BPE"
-            and model["end_of_word_suffix"] == _WORD_END
-            and not model["ignore_merges"]
+            and model.get("end_of_word_suffix") == _WORD_END
+            and not model.get("ignore_merges")
             and all(c + end in model["vocab"] for c in pre_tokenizers.ByteLevel.alphabet() for end in ("", _WORD_END))
             and not any(_PLAIN.search(t["content"][:1]) for t in spec["added_tokens"])
         )
